@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import bpe, langid, mixing, secrets, token_counts, url_filter
+from quillframe.llm import bpe, langid, minhash, mixing, secrets, token_counts, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -22,6 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -47,7 +51,32 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_url_filter, op5_source_mix, op6_secret_scan, op7_bpe_round_trip, op8_language_id, op10_token_counts)
+    f.__name__: f for f in (op2_near_duplicates, op3_url_filter, op5_source_mix, op6_secret_scan, op7_bpe_round_trip, op8_language_id, op10_token_counts)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_near_duplicates": r"""
+        with recursive words as (
+            select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+            from documents
+        ),
+        sets as (
+            select doc_id, list_distinct(case when len(w) = 0 then [] when len(w) = 1 then [w[1]]
+                else list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) end) as s
+            from words
+        ),
+        classes as (select list_sort(s) as s, min(doc_id) as rep from sets where len(s) > 0 group by 1),
+        items as (select rep, len(s) as n, unnest(s) as x from classes),
+        pairs as (
+            select a.rep as a, b.rep as b, count(*) as shared, any_value(a.n) as na, any_value(b.n) as nb
+            from items a join items b on a.x = b.x and a.rep < b.rep group by 1, 2
+        ),
+        linked as (select a, b from pairs where 100 * shared >= 80 * (na + nb - shared)),
+        edges as (select a, b from linked union select b, a from linked),
+        reach as (select rep as a, rep as b from classes union select r.a, e.b from reach r join edges e on r.b = e.a),
+        roots as (select a, min(b) as root from reach group by a)
+        select d.doc_id, cast(len(d.s) as bigint) as n_shingles, coalesce(r.root, d.doc_id) as component_id,
+               coalesce(r.root, d.doc_id) = d.doc_id as kept
+        from sets d left join classes c on list_sort(d.s) = c.s left join roots r on r.a = c.rep
+    """,
+}
