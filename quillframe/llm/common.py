@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -37,10 +38,17 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/quillframe/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    free(spark)
     atexit.register(release, spark, path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def free(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop shuffle files of finished steps, which it does when the driver collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def release(spark: SparkSession, path: str) -> None:
     """Delete a table of stored() that no later plan reads; at exit, whatever is left."""
     try:

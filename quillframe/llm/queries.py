@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import bpe, langid, minhash, mixing, secrets, token_counts, url_filter
+from quillframe.llm import bpe, langid, minhash, mixing, secrets, suffix_dedup, token_counts, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -46,12 +46,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_near_duplicates, op3_url_filter, op5_source_mix, op6_secret_scan, op7_bpe_round_trip, op8_language_id, op10_token_counts)
+    f.__name__: f for f in (op2_near_duplicates, op3_url_filter, op5_source_mix, op6_secret_scan, op7_bpe_round_trip, op8_language_id, op9_repeated_passages, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {
