@@ -101,21 +101,20 @@ def score_texts(texts: list[str], langs: list[str], matrix: np.ndarray) -> tuple
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
-    """The columns `keep` of docs with lang_pred and score; a column of these names in docs gives way."""
+    """The columns `keep` of docs with __lang_pred and __score."""
     langs, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, np.asfortranarray(matrix)))
-    kept = [c for c in keep if c not in ("lang_pred", "score")]
-    rows = docs.select(F.col(text_col).alias("__text"), *kept)
+    rows = docs.select(F.col(text_col).alias("__text"), *keep)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, matrix = shared.value
         for batch in batches:
             for part in slices(batch, 0, 1 << 20):
                 pred, score = score_texts([t or "" for t in part.column(0).to_pylist()], langs, matrix)
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*kept, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(pred, pa.string()), pa.array(score, pa.float64())], [*keep, "__lang_pred", "__score"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(apply, f"{fields}, lang_pred string, score double")
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema.fields[1:])
+    return rows.mapInArrow(apply, f"{fields}__lang_pred string, __score double")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -132,4 +131,4 @@ def learned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> DataFrame:
     """id, held_out, lang_pred, score of every document; lang serves for fitting only."""
     out = predict(docs, learned(docs, id_col, text_col, lang_col, **options), [id_col], text_col)
-    return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score")
+    return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))

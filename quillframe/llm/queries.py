@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.llm import bpe, langid, minhash, mixing, secrets, suffix_dedup, token_counts, url_filter
+from quillframe.llm import ann, bpe, langid, minhash, mixing, secrets, suffix_dedup, token_counts, topk_nra, url_filter
 
 
 def tokenizer_file(name: str) -> str:
@@ -22,6 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=2)
 
@@ -30,6 +35,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return topk_nra.top_k(rows, rows.where("vec_id % 100 = 0"))
+
+
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan_of_documents(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -55,10 +65,26 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_near_duplicates, op3_url_filter, op5_source_mix, op6_secret_scan, op7_bpe_round_trip, op8_language_id, op9_repeated_passages, op10_token_counts)
+    f.__name__: f for f in (op1_nearest_neighbours, op2_near_duplicates, op3_url_filter, op4_exact_top_k, op5_source_mix, op6_secret_scan, op7_bpe_round_trip, op8_language_id, op9_repeated_passages, op10_token_counts)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_exact_top_k": """
+        with sound as (
+            select vec_id, list_transform(embedding, lambda x: cast(floor(1024 * cast(x as double)) as bigint)) as v
+            from embeddings
+            where embedding is not null and len(embedding) > 0
+              and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+        ),
+        scored as (
+            select q.vec_id as query_id, r.vec_id,
+                   cast(list_sum(list_transform(list_zip(q.v, r.v), lambda p: p[1] * p[2])) as bigint) as score
+            from sound q join sound r on q.vec_id <> r.vec_id and len(q.v) = len(r.v)
+            where q.vec_id % 100 = 0
+        ),
+        ranked as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from scored)
+        select query_id, cast(rank as integer) as rank, vec_id, score from ranked where rank <= 10
+    """,
     "op2_near_duplicates": r"""
         with recursive words as (
             select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
