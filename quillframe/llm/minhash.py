@@ -5,12 +5,14 @@
    each of bands x rows universal hash minima.
 2. Documents with equal sets are one class; only its smallest id goes on. Thousands of copies
    thus cost one row each, and never a pair.
-3. In every bucket (equal band key) each class is paired with the bucket's smallest one. Pairs
-   pass the signature check (an estimate far below the threshold ends here), then are confirmed
+3. In every bucket (equal band key) each class is paired with the bucket's pivot: the class that
+   meets most others over all its buckets, as the common origin of many copies does. Pairs pass the signature check (an estimate far below the threshold ends here), then are confirmed
    on full shingle sets made anew from both texts. Components come from the confirmed links.
 4. Buckets that still hold several components are compared across components, in blocks, by
-   their signatures, and what passes is confirmed likewise. So every pair that shares a bucket
-   is either in one component or has been checked: no link is lost to the choice of pairs.
+   their signatures. Of those classes that agree with one of another component, the full sets
+   are compared where the block lies; a task tells only links that join components. So every
+   pair that shares a bucket is either in one component or has been checked: no link is lost
+   to the choice of pairs, and none is told for each pair of a group.
 
 With 42 bands of 6 rows a pair at similarity 0.8 shares no bucket with probability 3e-6, and
 less above; the signature check fails it with probability below 1e-11.
@@ -36,7 +38,7 @@ from pyspark.sql import functions as F
 from quillframe.llm.common import U64, cut, mix64, release, slices, stored
 from quillframe.llm.components import connected_components
 
-BLOCK = 2048  # classes of a bucket compared in one task
+BLOCK = 1024  # classes of a bucket compared in one task
 
 
 def shingles(text: str, words: int) -> np.ndarray:
@@ -138,36 +140,95 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return pairs.join(right, "b").join(left, "a").select("a", "b", "ta", "tb").mapInArrow(run, "u long, v long")
 
 
-def across(buckets: DataFrame, least: int) -> DataFrame:
-    """Pairs (a, b) from different components of one bucket whose signatures agree.
-
-    buckets: key, id, comp, sketch. Large buckets are dealt as pairs of blocks of BLOCK rows at most.
-    """
+def in_blocks(buckets: DataFrame) -> DataFrame:
+    """Rows of a bucket (key) dealt as pairs (i, j) of blocks of BLOCK rows at most, so that a task holds two blocks."""
     sizes = buckets.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     dealt = buckets.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least("block", k).alias("i"), F.greatest("block", k).alias("j")))
-    dealt = dealt.select("key", "id", "comp", "sketch", "block", F.explode(pairs).alias("p")).select("key", "id", "comp", "sketch", "block", "p.i", "p.j")
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
-        ids, comp, block = pdf["id"].to_numpy(), pdf["comp"].to_numpy(), pdf["block"].to_numpy()
-        sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-        values, counts = np.unique(comp, return_counts=True)
-        # of pairs across components, one end at least is outside the largest component
-        outside = np.flatnonzero(comp != values[counts.argmax()])
-        left, right = [], []
-        for x in outside:
-            other = comp != comp[x]
-            if i != j:
-                other &= block != block[x]
-            y = np.flatnonzero(other)
-            y = y[(sketch[y] == sketch[x]).sum(axis=1) >= least]
-            left += [ids[x]] * len(y)
-            right += ids[y].tolist()
-        a, b = np.array(left, np.int64), np.array(right, np.int64)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long").distinct()
+    return dealt.withColumn("p", F.explode(pairs)).select(*buckets.columns, "block", "p.i", "p.j").groupBy("key", "i", "j")
+
+
+def close_pairs(pdf: pd.DataFrame, least: int, rows: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row x and rows y of other components whose signatures agree and whose first common band is this bucket's."""
+    comp, block = pdf["comp"].to_numpy(), pdf["block"].to_numpy()
+    apart, band = pdf["i"].iloc[0] != pdf["j"].iloc[0], pdf["band"].iloc[0]
+    sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+    values, counts = np.unique(comp, return_counts=True)
+    main = values[counts.argmax()]
+    # of two components, one at least is not the largest; its rows look at all others, and at smaller places in their like
+    for x in np.flatnonzero(comp != main):
+        other = comp != comp[x]
+        other[:x] &= comp[:x] == main
+        if apart:
+            other &= block != block[x]
+        y = np.flatnonzero(other)
+        same = sketch[y] == sketch[x]
+        near = same.sum(axis=1) >= least
+        y, same = y[near], same[near]
+        if len(y):
+            first = same.reshape(len(y), -1, rows).all(axis=2).argmax(axis=1)
+            y = y[first == band]
+        if len(y):
+            yield x, y
+
+
+def takers(buckets: DataFrame, least: int, rows: int) -> DataFrame:
+    """key, band, id, comp of the rows that are in some close pair. buckets: key, band, id, comp, sketch."""
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        hit = np.zeros(len(pdf), bool)
+        for x, y in close_pairs(pdf, least, rows):
+            hit[x] = True
+            hit[y] = True
+        return pdf.loc[hit, ["key", "band", "id", "comp"]]
+
+    return in_blocks(buckets).applyInPandas(find, "key long, band int, id long, comp long").distinct()
+
+
+def links_across(buckets: DataFrame, least: int, rows: int, percent: int) -> DataFrame:
+    """Confirmed links u, v between components of one bucket; of those that join the same components in a task, the first.
+
+    buckets: key, band, id, comp, sketch, hashes (the full shingle set).
+    """
+
+    def find(pdf: pd.DataFrame) -> pd.DataFrame:
+        ids, comp = pdf["id"].to_numpy(), pdf["comp"].to_numpy()
+        sets = [np.frombuffer(h, U64) for h in pdf["hashes"]]
+        parent: dict[int, int] = {}
+        out = []
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        for x, ys in close_pairs(pdf, least, rows):
+            mine = sets[x]
+            for at in range(0, len(ys), 256):
+                y = ys[at : at + 256]
+                sizes = np.array([len(sets[k]) for k in y])
+                flat = np.concatenate([sets[k] for k in y])
+                place = np.minimum(np.searchsorted(mine, flat), len(mine) - 1)
+                both = np.add.reduceat((mine[place] == flat).astype(np.int64), np.cumsum(sizes) - sizes)
+                for k in y[100 * both >= percent * (len(mine) + sizes - both)]:
+                    a, b = root(comp[x]), root(comp[k])
+                    if a != b:
+                        parent[a] = b
+                        out.append((ids[x], ids[k]))
+        return pd.DataFrame(out, columns=["u", "v"]).astype("int64")
+
+    return in_blocks(buckets).applyInPandas(find, "u long, v long")
+
+
+def full_sets(texts: DataFrame, words: int) -> DataFrame:
+    """id, hashes: the sorted shingle set of each text as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t, words).tobytes() for t in part.column(1).to_pylist()], pa.binary())], ["id", "hashes"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, hashes binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 42, rows: int = 6) -> DataFrame:
@@ -180,9 +241,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = usable.join(reps.select(F.col("fp").alias("f"), "rep"), (F.col("fp") == F.col("f")) & (F.col("id") == F.col("rep")))
     classes, classes_at = stored(first.select("id", "keys", "sketch").dropDuplicates(["id"]), "classes")
 
-    members = classes.select("id", F.explode("keys").alias("key"))
-    pivots = members.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("m")).where("m > 1").select("key", "pivot")
-    shared, shared_at = stored(members.join(pivots, "key"), "buckets")
+    members = classes.select("id", F.posexplode("keys").alias("band", "key"))
+    sizes = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared, shared_at = stored(members.join(sizes, "key"), "buckets")
+    met = shared.groupBy("id").agg(F.sum("m").alias("met"))
+    pivots = shared.join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("n"))).alias("p")).select("key", (-F.col("p.n")).alias("pivot"))
     least = least_matches(bands, rows, percent)
     sketches = classes.select("id", "sketch")
     class_texts = texts.where("id is not null")
@@ -194,13 +257,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         needed = class_texts.join(ends, "id", "left_semi").dropDuplicates(["id"])
         return cut(confirmed(close, needed, words, percent))
 
-    stars = links(shared.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
+    stars = links(shared.join(pivots, "key").where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
     component = connected_components(stars)
-    placed = shared.join(component, shared["id"] == component["node"], "left").select("key", "id", F.coalesce("root", "id").alias("comp"))
+    placed = shared.join(component, shared["id"] == component["node"], "left").select("key", "band", "id", F.coalesce("root", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    rest = links(across(placed.join(mixed, "key").join(sketches, "id"), least))
+    taking, taking_at = stored(takers(placed.join(mixed, "key").join(sketches, "id"), least, rows), "takers")
+    needed = class_texts.join(taking.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    whole = taking.join(sketches, "id").join(full_sets(needed, words), "id")
+    rest = cut(links_across(whole, least, rows, percent))
     if not rest.isEmpty():
         component = connected_components(stars.union(rest))
+    release(docs.sparkSession, taking_at)
     release(docs.sparkSession, shared_at)
     release(docs.sparkSession, classes_at)
 
