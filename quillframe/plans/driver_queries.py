@@ -1,4 +1,203 @@
-"""Registered queries of the CSV engine and their DuckDB SQL."""
+"""Registered queries of the CSV engine and their DuckDB SQL.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Each query exports whole tables to CSV (once for each input folder and session, next to the
+session's shared folder) and reads them back with the engine.
+"""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillframe.operators import analytics, compare
+from quillframe.errors import CsvError
+from quillframe.options import ReadOptions
+from quillframe.sources.money import read_money
+from quillframe.sources.reader import read_common, read_csv, read_naive
+from quillframe.sources.sinks import write_csv
+
+_exports: dict[tuple[str, str], str] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    key = (spark.sparkContext.applicationId, "")
+    if key not in _exports:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if shared:
+            _exports[key] = f"{shared}/quillframe-csv-{uuid.uuid4().hex}"
+        else:
+            kept = tempfile.TemporaryDirectory(prefix="quillframe-csv-")
+            atexit.register(kept.cleanup)
+            _exports[key] = kept.name
+    return _exports[key]
+
+
+def exported(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame] | None = None) -> str:
+    """Path of the CSV export of a table, or of what make() gives, under that name."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
+    if key not in _exports:
+        path = f"{_folder(spark)}/{uuid.uuid4().hex}-{name}"
+        write_csv(make() if make else spark.read.parquet(f"{sf_dir}/{name}.parquet"), path)
+        _exports[key] = path
+    return _exports[key]
+
+
+def _read(name: str, schema: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: read_csv(spark, exported(spark, sf_dir, name), schema)
+
+
+def _blanked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return rows.select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")).alias("o_totalprice"))
+
+
+def empty_float_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = exported(spark, sf_dir, "orders_blanked", lambda: _blanked(spark, sf_dir))
+    return read_csv(spark, path, "o_orderkey:int, o_totalprice:float")
+
+
+def _priced(spark: SparkSession, sf_dir: str, name: str, price: str) -> str:
+    """An export whose prices are written as money, with two decimals."""
+    rows = lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet").withColumn(price, F.col(price).cast("decimal(18,2)"))
+    return exported(spark, sf_dir, f"{name}_priced", rows)
+
+
+def _money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_csv(spark, _priced(spark, sf_dir, "lineitem", "l_extendedprice"), "l_orderkey:int, l_linenumber:int, l_extendedprice:cents, l_returnflag:str")
+
+
+def _money_file(spark: SparkSession, sf_dir: str) -> str:
+    def make() -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+        cents = (F.col("l_extendedprice").cast("decimal(18,2)")).cast("string")
+        note = F.when(F.col("l_linenumber") % 3 == 0, 'said "hello", twice\nand left').otherwise("order shipped")
+        return rows.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_suppkey").alias("user_id"), note.alias("note"), cents.alias("amount"), F.col("l_returnflag").alias("category"))
+
+    return exported(spark, sf_dir, "lineitem_money", make)
+
+
+def money_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _money(spark, sf_dir).select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("amount_cents"))
+
+
+def money_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.total(_money(spark, sf_dir), "l_extendedprice")
+
+
+def money_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.total_by(_money(spark, sf_dir), "l_returnflag", "l_extendedprice")
+
+
+def money_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_csv(spark, _priced(spark, sf_dir, "part", "p_retailprice"), "p_brand:str, p_retailprice:cents")
+    return analytics.largest(rows, "p_brand", "p_retailprice")
+
+
+def money_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_money(spark, _money_file(spark, sf_dir)).decoded().withColumn("id", F.col("id").cast("bigint"))
+
+
+def money_profile_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_money(spark, _money_file(spark, sf_dir)).total_by_category()
+
+
+def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_csv(spark, exported(spark, sf_dir, "customer"), "c_custkey:int, c_mktsegment:str")
+
+
+def dict_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.dictionary_of(_segments(spark, sf_dir), "c_mktsegment", ["c_custkey"]).select(F.col("code").cast("bigint").alias("code"), "c_mktsegment")
+
+
+def dict_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, dictionary = analytics.encode(_segments(spark, sf_dir), "c_mktsegment", ["c_custkey"])
+    return analytics.decode(coded, dictionary, "c_mktsegment")
+
+
+def count_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_csv(spark, exported(spark, sf_dir, "documents"), "doc_id:int").agg(F.count("*").alias("n"))
+
+
+def blank_lines_skipped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth region or nation row is followed by blank lines."""
+    path = f"{exported(spark, sf_dir, 'nation')}-blank"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _exports:
+        rows = spark.read.text(exported(spark, sf_dir, "nation"), lineSep="\n")
+        rows.select(F.explode(F.array(F.col("value"), F.lit(""))).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+        _exports[key] = path
+    return read_csv(spark, path, "n_nationkey:int, n_name:str")
+
+
+def common_scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_common(spark, exported(spark, sf_dir, "documents"), "doc_id:int, text:str, lang:str")
+
+
+def naive_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the naive reader gets right on messy data, which are fewer than it returns."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    got = read_naive(spark, exported(spark, sf_dir, "documents_text", lambda: rows), "doc_id:int, text:str")
+    return compare.integrity(got, rows, "doc_id")
+
+
+def errors_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code of the first error in file order of a file with two bad cells."""
+    path = exported(spark, sf_dir, "two_errors", lambda: spark.range(9000).coalesce(1).select(F.when(F.col("id") == 3000, "x").when(F.col("id") == 6000, "y").otherwise("1").alias("a"), F.lit("2").alias("b")))
+    try:
+        read_csv(spark, path, "a:int", ReadOptions(chunk_bytes=4096))
+        code, cell = "NONE", ""
+    except CsvError as e:
+        code, cell = e.code, "x" if '"x"' in str(e) else "?"
+    return spark.createDataFrame([(code, cell)], "code string, cell string")
+
+
+def partition_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of documents, and rows that differ between readings with small and large splits."""
+    path = exported(spark, sf_dir, "documents")
+    schema = "doc_id:int, text:str, source:str"
+    small, large = (read_csv(spark, path, schema, ReadOptions(chunk_bytes=n, validate=False)) for n in (8191, 64 << 20))
+    tagged = small.select("*", F.lit(1).alias("side")).unionByName(large.select("*", F.lit(-1).alias("side")))
+    each = tagged.groupBy("doc_id", F.xxhash64("text", "source").alias("h")).agg(F.sum("side").alias("d"), F.count("*").alias("n"))
+    return each.agg((F.sum("n") / 2).cast("bigint").alias("n"), F.sum(F.abs("d")).alias("mismatches"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "scan_typed_lineitem": _read("lineitem", "l_orderkey:int, l_linenumber:int, l_extendedprice:float, l_returnflag:str"),
+    "scan_quoted_documents": _read("documents", "doc_id:int, text:str, lang:str"),
+    "scan_quoted_pages": _read("pages", "page_id:int, url:str, html:str"),
+    "scan_conversations": _read("conversations", "conv_id:int, turn:int, role:str, text:str"),
+    "scan_events_json": _read("events", "event_id:int, user_id:u32, event_type:str, props:str"),
+    "projection_reorder": _read("orders", "o_orderpriority:str, o_orderkey:int"),
+} | {
+    f.__name__: f
+    for f in (common_scan_documents, empty_float_nan, money_cents, money_total, money_by_category, money_top3, money_profile, money_profile_by_category, dict_codes, dict_decode, count_rows, blank_lines_skipped, naive_integrity, errors_first, partition_invariance)
+}
+
+CENTS = "cast(cast(l_extendedprice as decimal(18,2)) * 100 as bigint)"
+ORACLE_SQL: dict[str, str] = {
+    "scan_typed_lineitem": "select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, l_extendedprice, l_returnflag from lineitem",
+    "scan_quoted_documents": "select doc_id, text, lang from documents",
+    "scan_quoted_pages": "select page_id, url, html from pages",
+    "scan_conversations": "select conv_id, cast(turn as bigint) as turn, role, text from conversations",
+    "scan_events_json": "select event_id, user_id, event_type, props from events",
+    "projection_reorder": "select o_orderpriority, o_orderkey from orders",
+    "common_scan_documents": "select doc_id, text, lang from documents",
+    "empty_float_nan": "select o_orderkey, case when o_orderkey % 7 = 0 then cast('NaN' as double) else o_totalprice end as o_totalprice from orders",
+    "money_cents": f"select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, {CENTS} as amount_cents from lineitem",
+    "money_total": f"select cast(sum({CENTS}) as bigint) as total_cents from lineitem",
+    "money_by_category": f"select l_returnflag, cast(sum({CENTS}) as bigint) as total_cents from lineitem group by 1",
+    "money_top3": "select p_brand, cast(sum(cast(cast(p_retailprice as decimal(18,2)) * 100 as bigint)) as bigint) as total_cents from part group by 1 order by 2 desc, 1 limit 3",
+    "money_profile": f"select cast(l_orderkey * 10 + l_linenumber as bigint) as id, l_suppkey as user_id, {CENTS} as amount_cents, l_returnflag as category from lineitem",
+    "money_profile_by_category": f"select l_returnflag as category, cast(sum({CENTS}) as bigint) as total_cents from lineitem group by 1",
+    "dict_codes": "select row_number() over (order by min(c_custkey)) - 1 as code, c_mktsegment from customer group by 2",
+    "dict_decode": "select c_custkey, c_mktsegment from customer",
+    "count_rows": "select count(*) as n from documents",
+    "blank_lines_skipped": "select cast(n_nationkey as bigint) as n_nationkey, n_name from nation",
+    "errors_first": "select 'BAD_VALUE' as code, 'x' as cell",
+    "partition_invariance": "select count(*) as n, cast(0 as bigint) as mismatches from documents",
+}
