@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import U64, free, mix64, release, slices, stored
+from quillframe.llm.common import U64, mix64, release, slices, stored
 
 GRAM = 32
 SEGMENT = 1 << 20  # positions hashed at a time
@@ -275,17 +275,21 @@ def stretches(docs: DataFrame, length: int = 200, hot: int = 20_000) -> DataFram
         rest = compared(around, length)
     else:
         rest = compared(around.join(large, "k", "left_anti"), length).union(compared_hot(around.join(large, "k"), length))
-    out, _ = stored(ties.union(rest).distinct(), "stretches")
-    for path in (shared_at, named_at, around_at):
+    rest, _ = stored(rest, "rest")
+    release(spark, around_at)
+    out, _ = stored(ties, "ties")
+    for path in (shared_at, named_at):
         release(spark, path)
-    free(spark)
-    return out
+    return out.union(rest)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot: int = 20_000, keep_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes)."""
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).alias("given"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = texts.withColumn("h", F.xxhash64("text"))
+    # a row is known by its id, where ids are unique; else by its id and a hash of its text
+    ids = texts.select("given", "id")
+    unique = ids.where("given is null").isEmpty() and ids.groupBy("id").count().where("count > 1").isEmpty()
+    texts = texts.withColumn("h", F.lit(0).cast("long") if unique else F.xxhash64("text"))
     found = stretches(texts.select("id", "h", "text"), length, hot)
     lists = found.groupBy("id", "h").agg(F.collect_list(F.struct("start", "end")).alias("w"))
 
