@@ -139,7 +139,7 @@ def labelled_findings(n: int = 3000, seed: int = 6) -> list[tuple[str, int]]:
     return out
 
 
-def train(findings: list[tuple[str, int]], recall: float = 0.95, epochs: int = 6, seed: int = 6) -> Network:
+def train(findings: list[tuple[str, int]], recall: float = 0.99, epochs: int = 6, seed: int = 6) -> Network:
     """findings: (window of WIDTH characters, label). A quarter is held out to calibrate and to set the threshold."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.3, (ALPHABET, DIM)), rng.normal(0, 0.15, (DIM * KERNEL, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, FILTERS), 0.0)
@@ -221,7 +221,7 @@ def _mapped(docs: DataFrame, text_col: str, findings: list[tuple[str, int]] | No
     return docs.select(F.col(text_col).alias("__text"), *others).mapInArrow(run, schema)
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings: list[tuple[str, int]] | None = None, recall: float = 0.95) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", findings: list[tuple[str, int]] | None = None, recall: float = 0.99) -> DataFrame:
     """id, n_assign, n_access, n_hex, n_model, base_sha256, spans of every whole text."""
 
     def make(part: pa.RecordBatch, texts: list, spans: list) -> pa.RecordBatch:
@@ -234,7 +234,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return out.withColumnRenamed("id", id_col)
 
 
-def redact_secrets(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", findings: list[tuple[str, int]] | None = None, recall: float = 0.95) -> DataFrame:
+def redact_secrets(docs: DataFrame, text_col: str = "text", size_col: str = "n_chars", findings: list[tuple[str, int]] | None = None, recall: float = 0.99) -> DataFrame:
     """docs with every found secret replaced in the text; size_col, where there is one, follows the new text."""
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields]
 
