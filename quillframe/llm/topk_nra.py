@@ -9,7 +9,8 @@ bound falls below the k-th lower bound are out, and reading stops when all rows
 resolved or the lists end. Their final scores are integer sums. The k best of each block are
 merged by a grouped limit, so a query gathers k rows for each block at most.
 
-Contributions and bounds are float64 (exact below 2^53); final scores are int64.
+Contributions are float64 (exact below 2^53), bounds allow for the rounding of their sums;
+final scores are int64.
 
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part;
 a zero vector takes part. Only vectors of the query's length are its candidates. Rows that
@@ -28,40 +29,43 @@ from pyspark.sql.window import Window
 from quillframe.llm.common import stored
 from quillframe.llm.vectors import usable
 
-FIRST = 256  # entries read of each list in the first step
+FIRST = 512  # entries read of each list in the first step
 RESOLVE = 512  # rows still in at which final scores are computed
 
 
 class Lists:
-    """A block's rows and, for each dimension, their order by value."""
+    """A block's rows and, for each dimension, its list: the rows and their values in ascending order."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         self.ids, self.values = ids, values
-        self.floats = np.ascontiguousarray(values.astype(np.float64))
-        self.order = np.argsort(values, axis=0, kind="stable")
+        self.rows = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
+        self.sorted = np.take_along_axis(values.T, self.rows, axis=1).astype(np.float64)
 
     def top(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but the query's own, ties to the smaller id."""
         n = len(self.ids)
-        other = self.ids != own
-        dims = np.flatnonzero(query)
+        inside = self.ids != own
+        dims = np.flatnonzero(query).tolist()
         weight = query[dims].astype(np.float64)
-        up = weight > 0
-        place = lambda t: np.where(up, n - 1 - t, t)  # noqa: E731  where the t-th entry from the good end stands
-        known, read = np.zeros(n), np.zeros((n, len(dims)), np.float32)
-        worst = weight * self.floats[self.order[place(n - 1), dims], dims]
-        inside = other.copy()
+        # worst[d]: what the last entry of list d would add; the lists of negative weights are read upwards
+        worst = np.array([w * self.sorted[d, 0 if w > 0 else -1] for d, w in zip(dims, weight)])
+        known, read = np.zeros(n), np.zeros((len(dims), n), np.float32)
         at, step = 0, FIRST
-        while at < n and inside.sum() > max(RESOLVE, k) and len(dims):
+        while at < n and dims and inside.sum() > max(RESOLVE, k):
             end = min(n, at + step)
-            rows = self.order[place(np.arange(at, end)[:, None]), dims]
-            known += np.bincount(rows.ravel(), (weight * self.floats[rows, dims]).ravel(), n)
-            read[rows, np.arange(len(dims))] = 1
-            now = weight * self.floats[self.order[place(end - 1), dims], dims]
-            lower = known + worst.sum() - read @ worst
-            upper = known + now.sum() - read @ now
+            rows, adds, now = [], [], np.empty(len(dims))
+            for i, (d, w) in enumerate(zip(dims, weight.tolist())):
+                part = slice(n - end, n - at) if w > 0 else slice(at, end)
+                some = self.rows[d, part]
+                rows.append(some)
+                adds.append(w * self.sorted[d, part])
+                read[i, some] = 1
+                now[i] = adds[-1][0 if w > 0 else -1]
+            known += np.bincount(np.concatenate(rows), np.concatenate(adds), n)
+            lower = known + worst.sum() - worst.astype(np.float32) @ read
+            upper = known + now.sum() - now.astype(np.float32) @ read
             floor = np.partition(lower[inside], -k)[-k]
-            slack = 1e-6 * (1 + np.abs(worst).sum() + np.abs(now).sum())  # of rounding
+            slack = 1e-5 * (1 + np.abs(worst).sum() + np.abs(now).sum())  # of rounding in the float32 sums
             inside &= upper >= floor - slack
             at, step = end, 2 * step
         rest = np.flatnonzero(inside)
