@@ -122,7 +122,7 @@ def met_at_neighbours(state: DataFrame, spread: int) -> DataFrame:
     return sent.join(hubs, "to", "left").select(F.xxhash64("to", part).alias("center"), "node", "v")
 
 
-def neighbour_graph(nodes: DataFrame, degree: int = 32, chunk: int = 64, told: int = 8, rounds: int = 12, settled: float = 0.02, start: int = 48, spread: int = 512) -> DataFrame:
+def neighbour_graph(nodes: DataFrame, degree: int = 32, chunk: int = 64, told: int = 8, rounds: int = 12, settled: float = 0.05, start: int = 48, spread: int = 512) -> DataFrame:
     """nodes: node, v (binary float64). Returns a table node, v (float16), near, dist.
 
     The first lists come from chance meetings: nodes ordered by hash meet in chunks of `start`, three times.
