@@ -43,7 +43,7 @@ LATIN_WORDS = re.compile(rf"{SHORT}|[{LATIN}]+|[{NUMERALS}]|[^{BLANK}{LATIN}{NUM
 BEYOND_LATIN = re.compile(r"[^\x00-\u024f\u2010-\u2027\u2030-\u205e]")
 # Blocks in which this Python's Unicode tables agree with the library's older ones (a test asks about every code point).
 BEYOND_KNOWN = re.compile(r"[^\x00-\u052f\u0590-\u05ff\u0620-\u06ff\u0900-\u0aff\u2010-\u205e\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]")
-CACHE = 400_000  # words kept by a worker
+CACHE = 120_000  # words of a generation of a worker's cache
 
 
 def byte_symbols() -> list[str]:

@@ -68,12 +68,12 @@ def fit(labelled: DataFrame, per_language: int = 2000, max_languages: int = 64,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            langs = batch.column(1).to_pylist()
-            texts = batch.column(0).to_pylist()
-            for lang in set(langs):
-                n = seen.setdefault(lang, np.zeros(1 << BITS, np.float32))
-                for bucket, _ in ngrams([t for t, x in zip(texts, langs) if x == lang]):
-                    n += np.bincount(bucket, minlength=1 << BITS)
+            for part in slices(batch, 0, 1 << 20):
+                langs, texts = part.column(1).to_pylist(), part.column(0).to_pylist()
+                for lang in set(langs):
+                    n = seen.setdefault(lang, np.zeros(1 << BITS, np.float32))
+                    for bucket, _ in ngrams([t for t, x in zip(texts, langs) if x == lang]):
+                        n += np.bincount(bucket, minlength=1 << BITS)
         for lang, n in seen.items():
             rate = np.log((n + smoothing) / (n.sum() + smoothing * (1 << BITS))).astype(np.float32)
             yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([rate.tobytes()], pa.binary())], ["lang", "rates"])
