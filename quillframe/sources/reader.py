@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from quillframe.errors import CODES, BadHeader, EmptyInput, MissingFile
 from quillframe.functions.convert import CONVERT, TYPES, preview
 from quillframe.options import ReadOptions, Schema, positions, requested
-from quillframe.sources.records import quotes, records
+from quillframe.sources.records import head, quotes, records
 
 ORDER = ["_file", "_blk", "_pos"]
 # RFC 4180 fields, with possessive repeats so that long records don't exhaust the stack
@@ -52,29 +52,21 @@ def _raw(spark: SparkSession, path: str, options: ReadOptions) -> tuple[DataFram
     return found.select(F.col("file").alias("_file"), F.col("blk").alias("_blk"), F.col("pos").alias("_pos"), rec.alias("rec"), size.cast("long").alias("size")), table, scan
 
 
-def _headers(found: DataFrame, table: DataFrame) -> DataFrame:
-    """The first record of every file."""
-    first = table.where("blk = 0").select(F.col("file").alias("_file"), F.col("first").alias("_pos"))
-    return found.join(F.broadcast(first), ["_file", "_pos"], "left_semi")
-
-
-def _header(found: DataFrame, table: DataFrame, options: ReadOptions, exact: str | None) -> list[str]:
-    """Field names of the first file; all files must agree."""
-    kinds = _headers(found, table).groupBy("rec", "size").agg(F.min("_file").alias("file")).orderBy("file").limit(2).collect()
-    if not kinds or not kinds[0]["size"]:
-        if exact:
-            raise BadHeader("the file has no header")
-        raise EmptyInput("the file is empty")
-    record, size, file = kinds[0]["rec"], kinds[0]["size"], kinds[0]["file"]
+def _header(spark: SparkSession, table: DataFrame, options: ReadOptions, exact: str | None) -> str:
+    """The first record of the first file; those of other files are held against it when records are validated."""
+    file = table.agg(F.min("file")).first()[0]
+    record = head(spark, file, options.max_record_bytes) if file else None
+    record = record[:-1] if record and record.endswith("\r") else record
+    if not record:
+        raise BadHeader("the file has no header") if exact else EmptyInput("the file is empty")
+    size = len(record.encode("utf-8", "replace"))
     if size > options.max_record_bytes:
-        raise CODES["RECORD_TOO_LARGE"](f"the header has {size} bytes", file, 0)
+        raise CODES["RECORD_TOO_LARGE"](f"the header has more than {options.max_record_bytes} bytes", file, 0)
     if exact is not None and record != exact:
         raise BadHeader(f"the header is not {exact!r}", file, 0)
     if record.count('"') % 2:
         raise CODES["UNTERMINATED_QUOTE"]("in the header", file, 0)
-    if len(kinds) > 1:
-        raise BadHeader(f"files have different headers, first {file}")
-    return split_record(record)
+    return record
 
 
 def _fields(rec: Column, ncols: int) -> tuple[Column, Column]:
@@ -89,19 +81,20 @@ def _fields(rec: Column, ncols: int) -> tuple[Column, Column]:
     return count, F.when(quoted, F.array(*(F.coalesce(parsed[n], F.lit("")) for n in names))).otherwise(plain)
 
 
-def _checked(found: DataFrame, table: DataFrame, header: list[str], columns: list[tuple[str, str]], options: ReadOptions) -> DataFrame:
+def _checked(found: DataFrame, table: DataFrame, first_record: str, header: list[str], columns: list[tuple[str, str]], options: ReadOptions) -> DataFrame:
     """Converted columns beside error code and detail of each record (null if it is sound)."""
-    body = found.join(F.broadcast(table.where("blk = 0").select(F.col("file").alias("_f"), F.col("first").alias("_p"))), (F.col("_file") == F.col("_f")) & (F.col("_pos") == F.col("_p")), "left_anti")
+    first = table.where("blk = 0").select(F.col("file").alias("_f"), F.col("first").alias("_p"))
+    body = found.join(F.broadcast(first), (F.col("_file") == F.col("_f")) & (F.col("_pos") == F.col("_p")), "left").withColumn("_first", F.col("_p").isNotNull())
     if options.blank_lines == "skip":
-        body = body.where((F.col("size") > 0) | F.col("rec").isNull())
+        body = body.where((F.col("size") > 0) | F.col("rec").isNull() | F.col("_first"))
     rec, limit = F.col("rec"), options.max_record_bytes
     count, cells = _fields(rec, len(header))
-    body = body.select(*ORDER, "rec", "size", count.alias("_n"), cells.alias("_cells"))
+    body = body.select(*ORDER, "_first", "rec", "size", count.alias("_n"), cells.alias("_cells"))
     at = positions(header, columns)
     cell = lambda i: F.get("_cells", F.lit(i))
-    body = body.select(*ORDER, "rec", "size", "_n", "_cells", *(CONVERT[k](cell(i)).alias(f"v{i}") for i, (_, k) in zip(at, columns)))
-    code = F.when(F.col("size") > limit, "RECORD_TOO_LARGE").when(quotes(rec) % 2 == 1, "UNTERMINATED_QUOTE").when(rec.contains('"') & ~rec.rlike(RECORD), "BARE_QUOTE").when(F.col("_n") != len(header), "FIELD_COUNT")
-    detail = F.when(F.col("size") > limit, F.concat(F.col("size").cast("string"), F.lit(" bytes"))).when(F.col("_n") != len(header), F.concat(F.col("_n").cast("string"), F.lit(f" fields instead of {len(header)}")))
+    body = body.select(*ORDER, "_first", "rec", "size", "_n", "_cells", *(CONVERT[k](cell(i)).alias(f"v{i}") for i, (_, k) in zip(at, columns)))
+    code = F.when(F.col("_first"), F.when(~rec.eqNullSafe(F.lit(first_record)), "BAD_HEADER")).when(F.col("size") > limit, "RECORD_TOO_LARGE").when(quotes(rec) % 2 == 1, "UNTERMINATED_QUOTE").when(rec.contains('"') & ~rec.rlike(RECORD), "BARE_QUOTE").when(F.col("_n") != len(header), "FIELD_COUNT")
+    detail = F.when(F.col("_first"), F.lit("the header differs from the first file's")).when(F.col("size") > limit, F.concat(F.col("size").cast("string"), F.lit(" bytes"))).when(F.col("_n") != len(header), F.concat(F.col("_n").cast("string"), F.lit(f" fields instead of {len(header)}")))
     for i, (name, kind) in sorted(zip(at, columns)):
         if kind == "str":  # splitting may already have replaced bad bytes
             bad, wrong = ~F.is_valid_utf8(rec) & (~F.is_valid_utf8(cell(i)) | cell(i).contains("\ufffd")), "INVALID_UTF8"
@@ -110,7 +103,7 @@ def _checked(found: DataFrame, table: DataFrame, header: list[str], columns: lis
         code = code.when(bad, wrong)
         detail = detail.when(bad, F.concat(F.lit(f"{name!r} as {kind}: "), preview(F.make_valid_utf8(cell(i)))))
     values = [F.col(f"v{i}").cast(TYPES[k]).alias(name) for i, (name, k) in zip(at, columns)]
-    return body.select(*ORDER, code.alias("_code"), detail.alias("_detail"), *values)
+    return body.select(*ORDER, "_first", code.alias("_code"), detail.alias("_detail"), *values)
 
 
 def _raise_first(checked: DataFrame, table: DataFrame, scan: DataFrame) -> None:
@@ -134,12 +127,14 @@ def read_csv(spark: SparkSession, path: str, schema: Schema, options: ReadOption
     columns = requested(schema)
     own = _session(spark, options)
     found, table, scan = _raw(own, path, options)
-    header = _header(found, table, options, exact_header)
+    first_record = _header(own, table, options, exact_header)
+    header = split_record(first_record)
     positions(header, columns)
-    checked = _checked(found, table, header, columns, options)
+    checked = _checked(found, table, first_record, header, columns, options)
     if options.validate:
         _raise_first(checked, table, scan)
-    out = checked.orderBy(*ORDER) if ordered else checked
+    rows = checked.where(~F.col("_first"))
+    out = rows.orderBy(*ORDER) if ordered else rows
     return out.select(*(ORDER if keep_order else []), *(f"`{name}`" for name, _ in columns))
 
 

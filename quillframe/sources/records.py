@@ -10,6 +10,9 @@ at most, are shuffled and put together. No line order is sorted and no data is m
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+_folders: list[str] = []
 MAX_BROADCAST_BLOCKS = 1 << 18  # block rows of about 100 bytes
 
 
@@ -30,6 +34,34 @@ def lines(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
     return (scan.coalesce(1) if single else scan).select("file", "blk", F.monotonically_increasing_id().alias("pos"), F.col("value").cast("binary").alias("value"))
 
 
+def kept(table: DataFrame) -> DataFrame:
+    """A small table written once to the session's shared folder, so that later steps don't scan the input for it."""
+    spark = table.sparkSession
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if not path:
+            _folders.append(tempfile.mkdtemp(prefix="quillframe-"))
+            atexit.register(shutil.rmtree, _folders[-1], True)
+        sc.setCheckpointDir(path or _folders[-1])
+    return table.checkpoint(eager=True)
+
+
+def head(spark: SparkSession, file: str, limit: int) -> str | None:
+    """The first record of a file, or as much of it as exceeds limit; None if the file is empty. Reads its first lines only."""
+    n = 1
+    while True:
+        lines_ = [r["value"] for r in spark.read.option("lineSep", "\n").text(file).take(n)]
+        text = ""
+        for k, line in enumerate(lines_):
+            text = f"{text}\n{line}" if k else line
+            if text.count('"') % 2 == 0 or len(text) > limit:
+                return text
+        if len(lines_) < n:
+            return text if lines_ else None
+        n *= 4
+
+
 def quotes(value) -> F.Column:
     plain = value.cast("string")
     return F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit('"'), F.lit("")))
@@ -121,7 +153,7 @@ def assemble(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
 def records(spark: SparkSession, path: str, limit: int, single: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """file, blk, pos, rec (binary, null if over limit), size of every record; the block table; the scan."""
     scan = lines(spark, path, single)
-    table = blocks(scan)
+    table = kept(blocks(scan))
     known = table.agg(F.count("*"), F.sum("odd")).first()
     if not known[1]:
         whole = scan.select("file", "blk", "pos", F.when(F.octet_length("value") <= limit, F.col("value")).alias("rec"), F.octet_length("value").cast("long").alias("size"))
