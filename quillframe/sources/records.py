@@ -136,7 +136,9 @@ def assemble(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
                 size = pc.binary_length(joined).cast(pa.int64())
                 begin = pos[first + offsets[:-1]]
                 n = len(ends)
-                whole.append(pa.RecordBatch.from_arrays([pa.array([block[0]] * n, pa.string()), pa.array(np.full(n, block[1])), pa.array(begin), pc.if_else(pc.greater(size, limit), None, joined), size, pa.nulls(n, pa.int64())], names))
+                if pc.max(size).as_py() > limit:
+                    joined = pa.array([x if len(x) <= limit else None for x in joined.to_pylist()], pa.binary())
+                whole.append(pa.RecordBatch.from_arrays([pa.array([block[0]] * n, pa.string()), pa.array(np.full(n, block[1])), pa.array(begin), joined, size, pa.nulls(n, pa.int64())], names))
                 first = int(ends[-1]) + 1
             if first < len(pos) and open_ is None:  # a record that goes on
                 rest = value.slice(first).to_pylist()
