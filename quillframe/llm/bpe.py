@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillframe.llm.common import slices
+from quillframe.llm.common import slices, small_batches
 
 # Fixed value: how this family of files splits a normalised text into words.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -43,7 +43,7 @@ LATIN_WORDS = re.compile(rf"{SHORT}|[{LATIN}]+|[{NUMERALS}]|[^{BLANK}{LATIN}{NUM
 BEYOND_LATIN = re.compile(r"[^\x00-\u024f\u2010-\u2027\u2030-\u205e]")
 # Blocks in which this Python's Unicode tables agree with the library's older ones (a test asks about every code point).
 BEYOND_KNOWN = re.compile(r"[^\x00-\u052f\u0590-\u05ff\u0620-\u06ff\u0900-\u0aff\u2010-\u205e\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]")
-CACHE = 120_000  # words of a generation of a worker's cache
+CACHE = 80_000  # words of a generation of a worker's cache
 
 
 def byte_symbols() -> list[str]:
@@ -148,13 +148,14 @@ class WordEncoder:
     def __init__(self, file: str):
         self.table = MergeTable(file)
         self.specials = re.compile("|".join(map(re.escape, self.table.added))) if self.table.added else None
-        self.library = Tokenizer.from_str(file)
+        self.file, self.library = file, None  # loaded when a text of a rare script comes
         self.bytes = {s: b for b, s in enumerate(byte_symbols())}
         self.cache = Words(self.table)
 
     def tokens(self, text: str) -> list[tuple[int, str, str]]:
         """Of each word of a text without special strings."""
         if not text.isascii() and BEYOND_KNOWN.search(text):  # rare scripts: the library's own tables split
+            self.library = self.library or Tokenizer.from_str(self.file)
             words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
             return [self.table.as_strings(self.table.encode_word(bytes(self.bytes[c] for c in w))) for w, _ in words]
         cache = self.cache
@@ -196,6 +197,7 @@ def encode_documents(docs: DataFrame, file: str, id_col: str = "doc_id", text_co
     file: the content of the tokenizer file (JSON).
     """
     kinds = {"ids": "array<int>", "decoded": "string", "ids_sha256": "string", "decoded_sha256": "string"}
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(file)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -33,6 +33,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Have Arrow batches of whole texts hold few rows, so that a worker holds a few MB of them at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as a compressed table in the shared folder; returns it reread, and its path."""
     spark = df.sparkSession

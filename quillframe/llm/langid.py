@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import code_points, hashed_ngrams, slices
+from quillframe.llm.common import code_points, hashed_ngrams, slices, small_batches
 
 BITS = 17
 ORDERS = (1, 2, 3)
@@ -56,6 +56,7 @@ def ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def fit(labelled: DataFrame, per_language: int = 2000, max_languages: int = 64, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
     """labelled: id, text, lang. Returns the learned languages and the matrix (2^BITS x languages) of log-probabilities."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
     if not sizes:
@@ -102,6 +103,7 @@ def score_texts(texts: list[str], langs: list[str], matrix: np.ndarray) -> tuple
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str], text_col: str = "text") -> DataFrame:
     """The columns `keep` of docs with __lang_pred and __score."""
+    small_batches(docs.sparkSession)
     langs, matrix = model
     shared = docs.sparkSession.sparkContext.broadcast((langs, np.asfortranarray(matrix)))
     rows = docs.select(F.col(text_col).alias("__text"), *keep)

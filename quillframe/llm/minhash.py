@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import U64, cut, mix64, release, slices, stored
+from quillframe.llm.common import U64, cut, mix64, release, slices, small_batches, stored
 from quillframe.llm.components import connected_components
 
 BLOCK = 1024  # classes of a bucket compared in one task
@@ -233,6 +233,7 @@ def full_sets(texts: DataFrame, words: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80, bands: int = 42, rows: int = 6) -> DataFrame:
     """id, n_shingles, component_id (smallest id reachable over links, its own included), kept (component_id is its own)."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed, _ = stored(signatures(texts, words, bands, rows), "signatures")
     usable = signed.where("id is not null and fp is not null")

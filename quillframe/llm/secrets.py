@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import slices
+from quillframe.llm.common import slices, small_batches
 
 # The base rules, in their order.
 KINDS = ["assign", "access", "hex", "model"]
@@ -210,6 +210,7 @@ def redacted(text: str, spans: list[tuple[int, int, int]], mark: str = "[REDACTE
 
 
 def _mapped(docs: DataFrame, text_col: str, findings: list[tuple[str, int]] | None, make, schema: str, others: list[str], recall: float) -> DataFrame:
+    small_batches(docs.sparkSession)
     net = docs.sparkSession.sparkContext.broadcast(train(findings or labelled_findings(), recall))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import U64, mix64, release, slices, stored
+from quillframe.llm.common import U64, mix64, release, slices, small_batches, stored
 
 GRAM = 32
 SEGMENT = 1 << 20  # positions hashed at a time
@@ -285,6 +285,7 @@ def stretches(docs: DataFrame, length: int = 200, hot: int = 20_000) -> DataFram
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, hot: int = 20_000, keep_text: bool = False) -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes)."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("id"), F.col(id_col).alias("given"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     # a row is known by its id, where ids are unique; else by its id and a hash of its text
     ids = texts.select("given", "id")

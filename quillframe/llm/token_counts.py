@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from quillframe.llm.common import slices
+from quillframe.llm.common import slices, small_batches
 
 CACHE = 500_000  # pre-tokens kept by a worker
 # The byte-level pre-tokeniser's pattern, for texts of few scripts.
@@ -108,6 +108,7 @@ def frequent_pieces(docs: DataFrame, file: str, text_col: str = "text", id_col:
 
 def count_tokens(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 1024, **options) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit of every whole text. file: the content of the tokenizer file (JSON)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((file, frequent_pieces(docs, file, text_col, id_col, **options)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
