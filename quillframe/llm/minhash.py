@@ -10,7 +10,8 @@
    on full shingle sets made anew from both texts. Components come from the confirmed links.
 4. Buckets that still hold several components are compared across components, in blocks, by
    their signatures. Of those classes that agree with one of another component, the full sets
-   are compared where the block lies; a task tells only links that join components. So every
+   are compared where the block lies; a task tells only links that join components. A pair is
+   compared in the first bucket that it shares, found from the band keys themselves. So every
    pair that shares a bucket is either in one component or has been checked: no link is lost
    to the choice of pairs, and none is told for each pair of a group.
 
@@ -148,11 +149,12 @@ def in_blocks(buckets: DataFrame) -> DataFrame:
     return dealt.withColumn("p", F.explode(pairs)).select(*buckets.columns, "block", "p.i", "p.j").groupBy("key", "i", "j")
 
 
-def close_pairs(pdf: pd.DataFrame, least: int, rows: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Row x and rows y of other components whose signatures agree and whose first common band is this bucket's."""
+def close_pairs(pdf: pd.DataFrame, least: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Row x and rows y of other components whose signatures agree and whose first common band key is this bucket's."""
     comp, block = pdf["comp"].to_numpy(), pdf["block"].to_numpy()
     apart, band = pdf["i"].iloc[0] != pdf["j"].iloc[0], pdf["band"].iloc[0]
     sketch = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
+    keys = np.stack(pdf["keys"])
     values, counts = np.unique(comp, return_counts=True)
     main = values[counts.argmax()]
     # of two components, one at least is not the largest; its rows look at all others, and at smaller places in their like
@@ -162,22 +164,19 @@ def close_pairs(pdf: pd.DataFrame, least: int, rows: int) -> Iterator[tuple[int,
         if apart:
             other &= block != block[x]
         y = np.flatnonzero(other)
-        same = sketch[y] == sketch[x]
-        near = same.sum(axis=1) >= least
-        y, same = y[near], same[near]
-        if len(y):
-            first = same.reshape(len(y), -1, rows).all(axis=2).argmax(axis=1)
-            y = y[first == band]
+        y = y[(sketch[y] == sketch[x]).sum(axis=1) >= least]
+        if len(y):  # by the keys, since bytes of a sketch also agree by chance
+            y = y[(keys[y] == keys[x]).argmax(axis=1) == band]
         if len(y):
             yield x, y
 
 
-def takers(buckets: DataFrame, least: int, rows: int) -> DataFrame:
-    """key, band, id, comp of the rows that are in some close pair. buckets: key, band, id, comp, sketch."""
+def takers(buckets: DataFrame, least: int) -> DataFrame:
+    """key, band, id, comp of the rows that are in some close pair. buckets: key, band, id, comp, keys, sketch."""
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
         hit = np.zeros(len(pdf), bool)
-        for x, y in close_pairs(pdf, least, rows):
+        for x, y in close_pairs(pdf, least):
             hit[x] = True
             hit[y] = True
         return pdf.loc[hit, ["key", "band", "id", "comp"]]
@@ -185,10 +184,10 @@ def takers(buckets: DataFrame, least: int, rows: int) -> DataFrame:
     return in_blocks(buckets).applyInPandas(find, "key long, band int, id long, comp long").distinct()
 
 
-def links_across(buckets: DataFrame, least: int, rows: int, percent: int) -> DataFrame:
+def links_across(buckets: DataFrame, least: int, percent: int) -> DataFrame:
     """Confirmed links u, v between components of one bucket; of those that join the same components in a task, the first.
 
-    buckets: key, band, id, comp, sketch, hashes (the full shingle set).
+    buckets: key, band, id, comp, keys, sketch, hashes (the full shingle set).
     """
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -202,7 +201,7 @@ def links_across(buckets: DataFrame, least: int, rows: int, percent: int) -> Dat
                 c = parent[c]
             return c
 
-        for x, ys in close_pairs(pdf, least, rows):
+        for x, ys in close_pairs(pdf, least):
             mine = sets[x]
             for at in range(0, len(ys), 256):
                 y = ys[at : at + 256]
@@ -249,6 +248,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     pivots = shared.join(met, "id").groupBy("key").agg(F.max(F.struct("met", (-F.col("id")).alias("n"))).alias("p")).select("key", (-F.col("p.n")).alias("pivot"))
     least = least_matches(bands, rows, percent)
     sketches = classes.select("id", "sketch")
+    signs = classes.select("id", "keys", "sketch")
     class_texts = texts.where("id is not null")
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -262,10 +262,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component = connected_components(stars)
     placed = shared.join(component, shared["id"] == component["node"], "left").select("key", "band", "id", F.coalesce("root", "id").alias("comp"))
     mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    taking, taking_at = stored(takers(placed.join(mixed, "key").join(sketches, "id"), least, rows), "takers")
+    taking, taking_at = stored(takers(placed.join(mixed, "key").join(signs, "id"), least), "takers")
     needed = class_texts.join(taking.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    whole = taking.join(sketches, "id").join(full_sets(needed, words), "id")
-    rest = cut(links_across(whole, least, rows, percent))
+    whole = taking.join(signs, "id").join(full_sets(needed, words), "id")
+    rest = cut(links_across(whole, least, percent))
     if not rest.isEmpty():
         component = connected_components(stars.union(rest))
     release(docs.sparkSession, taking_at)

@@ -71,6 +71,25 @@ def test_links_that_no_pivot_shows(spark, monkeypatch):
     assert calls and got == brute(rows, 2)
 
 
+def test_pairs_whose_sketch_bytes_agree_in_an_earlier_band(spark, monkeypatch):
+    """Bytes of the minima agree by chance in a band whose keys differ; the pair meets in a later one."""
+    rng, bands, size = random.Random(3), 42, 6
+    a, b = minhash.universal(bands * size)
+    words, rows = [f"w{i}" for i in range(5000)], []
+    while len(rows) < 6:
+        base = [rng.choice(words) for _ in range(60)]
+        copy = [*base[:54], *(rng.choice(words) for _ in range(6))]  # 53 of 65 shingles of two words are shared
+        x, y = (minhash.minima(minhash.shingles(" ".join(t), 2), a, b).reshape(bands, size) for t in (base, copy))
+        same, bytes_same = (x == y).all(axis=1), (x.astype("u1") == y.astype("u1")).all(axis=1)
+        if same.any() and bytes_same.argmax() < same.argmax():
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join(copy))]
+    real = minhash.confirmed
+    monkeypatch.setattr(minhash, "confirmed", lambda *args: real(*args).where("false"))  # pivots show no link
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, words=2).collect()}
+    assert got == {i: i - i % 2 for i in range(6)}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert minhash.near_duplicates(docs).count() == 0
