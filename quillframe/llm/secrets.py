@@ -1,11 +1,13 @@
 """Secret scans: rules first, then a character convolutional network over every other candidate.
 
-Rules find assigned, access and hex secrets. A candidate is any other maximal run of 16 or more
-key characters with a digit; the network reads the whole run (long ones in overlapping pieces,
-of which the highest score counts) with the characters around it. It is trained on the driver
-from labelled findings (a bounded table: generated by default, or given), calibrated by Platt
-scaling on held-out findings, and its threshold is the highest that keeps `recall` of their
-positives. About 4,000 weights travel with the tasks; the scan is a narrow map.
+Rules find assigned, access and hex secrets. A candidate is any other maximal run of LEAST or
+more key characters, LEAST being the shortest value that a rule takes, and each part, of any
+length, that the rules' findings leave of a longer run; the network reads the whole candidate
+(long ones in overlapping pieces, of which the highest score counts) with the characters around
+it. It is trained on the driver from labelled findings (a bounded table: generated by default,
+or given), calibrated by Platt scaling on held-out findings, and its threshold is the highest
+that keeps `recall` of their positives, each scanned as a text: one counts as kept if rules and
+network cover all of it, so that what is no candidate is a loss. About 4,000 weights travel with the tasks; the scan is a narrow map.
 
 Defined cases: a null text counts as empty: no spans, and the digest of the empty string.
 Spans are in code points, end exclusive. Repeated rows are judged alike; nulls in the id pass
@@ -32,12 +34,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}+")
 CUES = ("passw", "secret", "token", "api")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*+[0-9])[A-Za-z0-9+/_.=-]{16,}+")
+LEAST = 6
+RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{LEAST},}}+")
+WORDLIKE = re.compile(r"[A-Za-z0-9]")
 
 PIECE, AROUND = 48, 24  # characters of a candidate in one window, and on either side of it
 WIDTH = PIECE + 2 * AROUND
 ALPHABET = 128 + 2  # ASCII; others; padding
 DIM, FILTERS, KERNEL = 8, 24, 5
+STEPS = 1500  # of training, at least
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -56,9 +61,22 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """(start, end) of the runs that the rules' findings don't touch."""
-    runs = [m.span() for m in CANDIDATE.finditer(text)]
-    return [(a, b) for a, b in runs if not any(s < b and a < e for s, _, e in taken)] if runs else []
+    """(start, end) of the runs, and of what the rules' findings leave of them, that hold a letter or digit. taken is sorted."""
+    out, k = [], 0
+    for m in RUN.finditer(text):
+        start, end = m.span()
+        while k < len(taken) and taken[k][2] <= start:
+            k += 1
+        at = start
+        for s, _, e in taken[k:]:
+            if s >= end:
+                break
+            if s > at:
+                out.append((at, s))
+            at = max(at, e)
+        if at < end:
+            out.append((at, end))
+    return [(a, b) for a, b in out if WORDLIKE.search(text, a, b)]
 
 
 def windows(text: str, start: int, end: int) -> list[str]:
@@ -93,6 +111,7 @@ class Network:
     def forward(self, classes: np.ndarray) -> tuple[np.ndarray, tuple]:
         x = self.embed[classes]
         x[:, AROUND : AROUND + PIECE, 0] += 1.0  # marks the candidate
+        x[:, :AROUND, 1] += 1.0  # and what comes before it, as a name does
         spread = np.lib.stride_tricks.sliding_window_view(x, KERNEL, axis=1).reshape(len(x), WIDTH - KERNEL + 1, DIM * KERNEL)
         maps = spread @ self.filters + self.bias
         best = maps.argmax(axis=1)
@@ -100,13 +119,26 @@ class Network:
         return peak @ self.out + self.out_bias, (spread, best, peak)
 
     def logits(self, texts: list[str]) -> np.ndarray:
-        return np.concatenate([self.forward(char_classes(texts[i : i + 256]))[0] for i in range(0, len(texts), 256)])
+        """As forward(), by what each character adds at each place of the kernel, in single precision."""
+        parts = self.filters.reshape(DIM, KERNEL, FILTERS).transpose(1, 0, 2)
+        plain = np.einsum("cd,kdf->kcf", self.embed, parts)
+        adds = np.concatenate([plain, plain + parts[:, None, 0], plain + parts[:, None, 1]], axis=1).astype(np.float32)
+        out = []
+        for i in range(0, len(texts), 256):
+            classes = char_classes(texts[i : i + 256])
+            classes[:, AROUND : AROUND + PIECE] += ALPHABET
+            classes[:, :AROUND] += 2 * ALPHABET
+            maps = adds[0].take(classes[:, : WIDTH - KERNEL + 1], axis=0)
+            for k in range(1, KERNEL):
+                maps += adds[k].take(classes[:, k : WIDTH - KERNEL + 1 + k], axis=0)
+            out.append(np.maximum(maps.max(axis=1) + self.bias, 0) @ self.out + self.out_bias)
+        return np.concatenate(out)
 
     def scores(self, texts: list[str]) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(texts) + self.shift, -30, 30)))
 
 
-def labelled_findings(n: int = 3000, seed: int = 6) -> list[tuple[str, int]]:
+def labelled_findings(n: int = 8000, seed: int = 6) -> list[tuple[str, int]]:
     """The default training table: windows of credentials in settings (1) and of harmless long runs in prose (0)."""
     rng = np.random.default_rng(seed)
     letters, mixed = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
@@ -116,10 +148,11 @@ def labelled_findings(n: int = 3000, seed: int = 6) -> list[tuple[str, int]]:
     keys = ["auth", "private_key", "client-key", "bearer", "access", "credential", "signing_key", "pwd", "conn_string", "webhook"]
     out = []
     for i in range(n):
-        size = int(rng.integers(18, 60))
+        size = int(rng.integers(18, 60)) if i % 4 < 2 else int(rng.integers(8, 24))
         if i % 2:
-            run = [lambda: pick(mixed, size), lambda: pick(mixed + "+/", size) + "==", lambda: "sk_live_" + pick(mixed, size), lambda: "gh_" + pick(mixed, size), lambda: pick("0123456789abcdefABCDEF", size), lambda: pick(mixed, 12) + "." + pick(mixed + "_-", size)][i // 2 % 6]()
-            lead = ["", f"{keys[int(rng.integers(10))]}: ", f'{keys[int(rng.integers(10))].upper()}="', f"{keys[int(rng.integers(10))]} is "][int(rng.integers(4))]
+            run = [lambda: pick(mixed, size), lambda: pick(mixed + "+/", size) + "==", lambda: "sk_live_" + pick(mixed, size), lambda: "gh_" + pick(mixed, size), lambda: pick("0123456789abcdefABCDEF", size), lambda: pick(mixed, 12) + "." + pick(mixed + "_-", size), lambda: pick(mixed[:52], size), lambda: "sk_live_" + pick("0123456789abcdef", 24 + size % 16) + pick(mixed, 6), lambda: ["", "-"][int(rng.integers(2))].join(word() for _ in range(4))][i // 2 % 9]()
+            named = i // 2 % 9 == 8 or len(run) < 14  # a passphrase or a short key shows by its name only
+            lead = ["", f"{keys[int(rng.integers(10))]}: ", f'{keys[int(rng.integers(10))].upper()}="', f"{keys[int(rng.integers(10))]} is "][int(rng.integers(1 if named else 0, 3 if named else 4))]
         else:
             run = [
                 lambda: f"{word()}.{rng.integers(100):02d}@{word()}.example.com".split("@")[1] + f"{rng.integers(10)}.example.com",
@@ -131,25 +164,51 @@ def labelled_findings(n: int = 3000, seed: int = 6) -> list[tuple[str, int]]:
                 lambda: word() + word() + word() + word() + str(rng.integers(10)),
                 lambda: "=" * int(rng.integers(8, 20)) + word() + str(rng.integers(10)) + "-" * 10,
                 lambda: f"www.{word()}.example.org/en/{rng.integers(999)}?".rstrip("?"),
-            ][i // 2 % 9]()
-            lead = ["", word() + ".", "see ", f"{word()}@"][int(rng.integers(4))]
-        text = f"{prose(5)} {lead}{run} {prose(5)}"
-        at = text.index(run)
-        out.append((windows(text, at, at + len(run))[0], i % 2))
+                lambda: pick(letters, int(rng.integers(6, 14))),
+                lambda: pick(letters, int(rng.integers(6, 12))).capitalize() + [".", ""][int(rng.integers(2))],
+                lambda: pick(letters, int(rng.integers(5, 12))) + ".",
+                lambda: pick(letters, int(rng.integers(12, 22))),
+                lambda: ".".join(map(str, rng.integers(0, 256, 4))),
+                lambda: f"555-{rng.integers(1000, 9999)}",
+                lambda: pick(letters, int(rng.integers(6, 10))).upper(),
+                lambda: pick(letters, int(rng.integers(6, 14))).upper() + [".", ""][int(rng.integers(2))],
+                lambda: f"{word()} {word()} {word()}".upper().split()[1].ljust(6, "E"),
+                lambda: f"{word()}-{word()}-{word()}",
+                lambda: word() + word(),
+                lambda: f"git.example.org/{word()}/commit/{pick('0123456789abcdef', 40)}",
+            ][i // 2 % 21]()
+            lead = ["", word() + ".", "see ", f"{word()}@", word() + ": ", ""][int(rng.integers(6))]
+        after = prose(5)
+        if i % 10 == 4:  # a name of a setting is none of its value
+            run, after = keys[int(rng.integers(10))], pick(mixed, size) + " " + prose(3)
+            text = f"{prose(5)} {run}: {after}"
+            at = len(text) - len(after) - 2 - len(run)
+        else:
+            text = f"{prose(5)} {lead}{run} {after}"
+            at = len(text) - len(run) - len(after) - 1
+        if i % 20 == 12 or i % 20 == 18:  # prose in capitals
+            text = text.upper()
+        rest = [(a, b) for a, b in candidates(text, base_spans(text)) if at <= a and b <= at + len(run)] or [(at, at + len(run))]
+        a, b = rest[int(rng.integers(len(rest)))]
+        out.append((windows(text, a, b)[0], i % 2))
     return out
 
 
-def train(findings: list[tuple[str, int]], recall: float = 0.99, epochs: int = 6, seed: int = 6) -> Network:
+def train(findings: list[tuple[str, int]], recall: float = 0.99, epochs: int = 16, seed: int = 6) -> Network:
     """findings: (window of WIDTH characters, label). A quarter is held out to calibrate and to set the threshold."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.3, (ALPHABET, DIM)), rng.normal(0, 0.15, (DIM * KERNEL, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, FILTERS), 0.0)
+    for c in range(128):  # letters, capitals, digits and blanks begin alike
+        kind = [chr(c).islower(), chr(c).isupper(), chr(c).isdigit(), chr(c).isspace()]
+        net.embed[c] = net.embed[c] * 0.5 + np.array([0, 0, *kind, 0, 0])
     classes, y = char_classes([t for t, _ in findings]), np.array([label for _, label in findings], float)
     order = rng.permutation(len(y))
     held, fit = order[: len(y) // 4], order[len(y) // 4 :]
     state = {k: [np.zeros_like(np.asarray(getattr(net, k), float)) for _ in range(2)] for k in ("embed", "filters", "bias", "out", "out_bias")}
     step = 0
-    for _ in range(epochs):
-        for batch in np.array_split(rng.permutation(fit), max(1, len(fit) // 64)):
+    parts = max(1, len(fit) // 64)
+    for _ in range(max(epochs, -(-STEPS // parts))):
+        for batch in np.array_split(rng.permutation(fit), parts):
             z, (spread, best, peak) = net.forward(classes[batch])
             dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) / max(1, len(batch))
             dpeak = dz[:, None] * net.out * (peak > 0)
@@ -171,27 +230,49 @@ def train(findings: list[tuple[str, int]], recall: float = 0.99, epochs: int = 6
         if len(z):
             net.scale -= 0.1 * float(((p - y[held]) * z).mean())
             net.shift -= 0.1 * float((p - y[held]).mean())
-    p = 1 / (1 + np.exp(-np.clip(net.scale * z + net.shift, -30, 30)))
-    positives = np.sort(p[y[held] == 1])
+    positives = np.sort(scanned([findings[i][0] for i in held if findings[i][1] == 1], net))
     if len(positives):
         net.threshold = max(0.5, float(positives[int((1 - recall) * len(positives))]))
     return net
 
 
-def text_spans(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
-    """All (start, kind, end) of each text, sorted."""
-    spans = [base_spans(t) for t in texts]
+def scanned(found: list[str], net: Network) -> np.ndarray:
+    """For windows of WIDTH characters, the highest threshold at which a scan of each as a text covers its whole piece."""
+    texts = [w.replace("\0", "") for w in found]
+    starts = [AROUND - w[:AROUND].count("\0") for w in found]
+    ends = [a + PIECE - w[AROUND : AROUND + PIECE].count("\0") for a, w in zip(starts, found)]
+    out = np.ones(len(found))
+    for i, (spans, scores) in enumerate(scored(texts, net)):
+        for c in range(starts[i], ends[i]):
+            if WORDLIKE.match(texts[i][c]) and not any(a <= c < b for a, _, b in spans):
+                out[i] = min(out[i], max((s for a, b, s in scores if a <= c < b), default=0.0))
+    return out
+
+
+def scored(texts: list[str], net: Network) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]]:
+    """The rules' (start, kind, end) of each text, and (start, end, score) of its candidates; of a long one the highest score."""
+    out = []
     pieces, owners = [], []
     for i, text in enumerate(texts):
-        for a, b in candidates(text, spans[i]):
+        spans = base_spans(text)
+        out.append((spans, []))
+        for a, b in candidates(text, spans):
             for w in windows(text, a, b):
                 pieces.append(w)
                 owners.append((i, a, b))
     if pieces:
-        scores = net.scores(pieces)
-        for i, a, b in sorted({o for o, s in zip(owners, scores) if s >= net.threshold}):
-            spans[i].append((a, 3, b))
-    return [sorted(s) for s in spans]
+        for (i, a, b), s in zip(owners, net.scores(pieces).tolist()):
+            found = out[i][1]
+            if found and found[-1][:2] == (a, b):
+                found[-1] = (a, b, max(s, found[-1][2]))
+            else:
+                found.append((a, b, s))
+    return out
+
+
+def text_spans(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
+    """All (start, kind, end) of each text, sorted."""
+    return [sorted([*spans, *((a, 3, b) for a, b, s in found if s >= net.threshold)]) for spans, found in scored(texts, net)]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
