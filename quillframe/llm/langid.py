@@ -1,10 +1,10 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Fitting reads a bounded sample: about `per_language` documents of each language, chosen by a
-hash of the id (all of them where a language has fewer), and at most `max_languages` labels,
-the most frequent ones. Counts are made per language on the executors; the driver gets one
-log-probability vector for each language, and broadcasts the matrix (languages x 2^BITS
-float32, 32 MB at the bound). Scoring is a narrow map over whole texts: the n-grams of a
+hash of the id (all of them where a language has fewer); every label is learned. Counts are
+made on the executors, one language at a time; the driver gets one log-probability vector for
+each language, and broadcasts the matrix (languages x 2^BITS float32: half a MB a language, no
+bound on their number). Scoring is a narrow map over whole texts: the n-grams of a
 slice of texts are hashed as arrays and their log-probabilities summed by document.
 
 Defined cases: a text that is null or has no letter is `und` with score 0. Without any
@@ -54,32 +54,36 @@ def ngrams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield hashed_ngrams(codes, owner, n, BITS)
 
 
-def fit(labelled: DataFrame, per_language: int = 2000, max_languages: int = 64, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
+def fit(labelled: DataFrame, per_language: int = 2000, smoothing: float = 0.1) -> tuple[list[str], np.ndarray]:
     """labelled: id, text, lang. Returns the learned languages and the matrix (2^BITS x languages) of log-probabilities."""
     small_batches(labelled.sparkSession)
     rows = labelled.where("lang is not null and text is not null")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-    if not sizes:
-        return [], np.zeros((1 << BITS, 0), np.float32)
-    share = F.create_map(*(x for r in sizes for x in (F.lit(r["lang"]), F.lit(min(1.0, per_language / r["count"])))))
+    sizes = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("share"))
     # a uniform number in [0, 1) that depends on the id alone
     chance = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30)) / F.lit(1 << 30)
-    sample = rows.where(chance < F.coalesce(share[F.col("lang")], F.lit(0.0)))
+    sample = rows.join(F.broadcast(sizes), "lang").where(chance < F.col("share"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, np.ndarray] = {}
+        last, n = None, np.zeros(0, np.float32)
+
+        def rates() -> pa.RecordBatch:
+            rate = np.log((n + smoothing) / (n.sum() + smoothing * (1 << BITS))).astype(np.float32)
+            return pa.RecordBatch.from_arrays([pa.array([last]), pa.array([rate.tobytes()], pa.binary())], ["lang", "rates"])
+
         for batch in batches:
             for part in slices(batch, 0, 1 << 20):
                 langs, texts = part.column(1).to_pylist(), part.column(0).to_pylist()
-                for lang in set(langs):
-                    n = seen.setdefault(lang, np.zeros(1 << BITS, np.float32))
+                for lang in sorted(set(langs), key=langs.index):  # rows come sorted by language
+                    if lang != last:
+                        if last is not None:
+                            yield rates()
+                        last, n = lang, np.zeros(1 << BITS, np.float32)
                     for bucket, _ in ngrams([t for t, x in zip(texts, langs) if x == lang]):
                         n += np.bincount(bucket, minlength=1 << BITS)
-        for lang, n in seen.items():
-            rate = np.log((n + smoothing) / (n.sum() + smoothing * (1 << BITS))).astype(np.float32)
-            yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([rate.tobytes()], pa.binary())], ["lang", "rates"])
+        if last is not None:
+            yield rates()
 
-    vectors = sample.select("text", "lang").repartition("lang").mapInArrow(count, "lang string, rates binary").orderBy("lang").collect()
+    vectors = sample.select("text", "lang").repartition("lang").sortWithinPartitions("lang").mapInArrow(count, "lang string, rates binary").orderBy("lang").collect()
     return [r["lang"] for r in vectors], np.stack([np.frombuffer(r["rates"], np.float32) for r in vectors], axis=1) if vectors else np.zeros((1 << BITS, 0), np.float32)
 
 

@@ -126,6 +126,14 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.identify(docs.withColumn("lang", docs["lang"].substr(9, 1)).where("false").union(docs.selectExpr("doc_id", "text", "cast(null as string)", "score"))).collect()} == {"und"}
 
 
+def test_every_language_is_learned(spark):
+    langs = [f"l{k:02d}" for k in range(70)]
+    texts = [" ".join([chr(0x4E00 + 2 * k), chr(0x4E01 + 2 * k)] * 3) for k in range(70)]
+    rows = [(100 * k + i, texts[k], langs[k]) for k in range(70) for i in range(2 if k > 63 else 3)]
+    found, matrix = langid.fit(spark.createDataFrame(rows, "id long, text string, lang string"))
+    assert sorted(found) == langs and langid.score_texts(texts, found, matrix)[0] == langs
+
+
 def test_url_filter(spark):
     urls = [None, "", "no scheme", "http://Example.COM/en/1", "http://www.example.com/en/1", "http://a.www.example.com/en/", "https://x.net/es/a?b", "https://net/fr/", "http://notexample.com/en/", "http://example.com", "ftp://u@Host:8/p#f", "http://cheap-pills.example.org/buy-now/", "http://library.example.org/about", "x://y://z.com/q"]
     pages = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)] + [(None, urls[3], "h")], "page_id long, url string, host string")
