@@ -232,7 +232,7 @@ def train(findings: list[tuple[str, int]], recall: float = 0.99, epochs: int = 1
             net.shift -= 0.1 * float((p - y[held]).mean())
     positives = np.sort(scanned([findings[i][0] for i in held if findings[i][1] == 1], net))
     if len(positives):
-        net.threshold = max(0.5, float(positives[int((1 - recall) * len(positives))]))
+        net.threshold = float(positives[int((1 - recall) * len(positives))])
     return net
 
 

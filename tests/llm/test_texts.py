@@ -106,6 +106,14 @@ def test_secrets_without_digit_short_or_beside_a_rule():
     assert secrets.scanned([lost.replace("before", "as is ")], net).tolist() == [0.0]
 
 
+def test_secret_threshold_follows_recall_below_a_half():
+    rng = random.Random(2)
+    findings = [(t, int(rng.random() < (0.5 if v else 0.1))) for t, v in secrets.labelled_findings(n=800)]
+    net = secrets.train(findings)
+    kept = secrets.scanned([t for t, v in findings if v], net) >= net.threshold
+    assert net.threshold < 0.5 and kept.mean() > 0.97
+
+
 def test_language_id(spark):
     rng = random.Random(4)
     sounds = {"aa": "aeioulmn", "kk": "kstrpaoi", "zz": "zwßäöüch"}
