@@ -6,8 +6,10 @@ length, that the rules' findings leave of a longer run; the network reads the wh
 (long ones in overlapping pieces, of which the highest score counts) with the characters around
 it. It is trained on the driver from labelled findings (a bounded table: generated by default,
 or given), calibrated by Platt scaling on held-out findings, and its threshold is the highest
-that keeps `recall` of their positives, each scanned as a text: one counts as kept if rules and
-network cover all of it, so that what is no candidate is a loss. About 4,000 weights travel with the tasks; the scan is a narrow map.
+that keeps `recall` of the positives of a third fold, each scanned as a text: one counts as kept
+if rules and network cover all of it, so that what is no candidate is a loss. About 2,000 weights
+travel with the tasks; the scan is a narrow map. The convolution is made once for every place of
+a text, whatever the number of candidates there.
 
 Defined cases: a null text counts as empty: no spans, and the digest of the empty string.
 Spans are in code points, end exclusive. Repeated rows are judged alike; nulls in the id pass
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import slices, small_batches
+from quillframe.llm.common import code_points, slices, small_batches
 
 # The base rules, in their order.
 KINDS = ["assign", "access", "hex", "model"]
@@ -40,9 +42,11 @@ WORDLIKE = re.compile(r"[A-Za-z0-9]")
 
 PIECE, AROUND = 48, 24  # characters of a candidate in one window, and on either side of it
 WIDTH = PIECE + 2 * AROUND
-ALPHABET = 128 + 2  # ASCII; others; padding
+OTHER, PADDING, ALPHABET = 128, 129, 130  # character classes beyond ASCII
 DIM, FILTERS, KERNEL = 8, 24, 5
+CHUNK = 1 << 16  # characters whose maps are held at a time
 STEPS = 1500  # of training, at least
+KEY, WORD = (np.array([chr(c).isascii() and bool(re.match(p, chr(c))) for c in range(ALPHABET)]) for p in (r"[A-Za-z0-9+/_.=-]", WORDLIKE))  # by class
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -79,20 +83,35 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return [(a, b) for a, b in out if WORDLIKE.search(text, a, b)]
 
 
-def windows(text: str, start: int, end: int) -> list[str]:
-    """The whole run in pieces, each with its surroundings; padded to WIDTH, the piece in the middle."""
+def windows(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The whole run in overlapping pieces of PIECE characters at most."""
     out = []
     for a in range(start, max(start + 1, end - PIECE // 2), PIECE // 2):
-        b = min(end, a + PIECE)
-        out.append(text[max(0, a - AROUND) : a].rjust(AROUND, "\0") + text[a:b].ljust(PIECE, "\0") + text[b : b + AROUND].ljust(AROUND, "\0"))
-        if b == end:
+        out.append((a, min(end, a + PIECE)))
+        if out[-1][1] == end:
             break
     return out
 
 
-def char_classes(texts: list[str]) -> np.ndarray:
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(texts), WIDTH)
-    return np.where(codes == 0, 129, np.minimum(codes, 128)).astype(np.int64)
+def window(text: str, start: int, end: int) -> str:
+    """A piece with its surroundings as a string of WIDTH characters, each of the three parts padded to its width."""
+    return text[max(0, start - AROUND) : start].rjust(AROUND, "\0") + text[start:end].ljust(PIECE, "\0") + text[end : end + AROUND].ljust(AROUND, "\0")
+
+
+def whole_texts(found: list[str]) -> list[tuple[str, int, int]]:
+    """Of each window, its characters without the padding, and where its piece starts and ends in them."""
+    parts = [(w[:AROUND].replace("\0", ""), w[AROUND : AROUND + PIECE].replace("\0", ""), w[AROUND + PIECE :].replace("\0", "")) for w in found]
+    return [(a + b + c, len(a), len(a) + len(b)) for a, b, c in parts]
+
+
+def laid_out(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Character classes of all texts, with AROUND places of padding before and after each; where each text starts."""
+    codes, sizes = code_points(texts)
+    starts = np.cumsum(sizes + AROUND) - sizes
+    out = np.full(int(sizes.sum()) + AROUND * (len(texts) + 1), PADDING, np.uint8)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    out[np.arange(len(codes)) + AROUND * (owner + 1)] = np.minimum(codes, OTHER)
+    return out, starts
 
 
 @dataclass
@@ -108,34 +127,80 @@ class Network:
     shift: float = 0.0
     threshold: float = 0.5
 
-    def forward(self, classes: np.ndarray) -> tuple[np.ndarray, tuple]:
+    def forward(self, classes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, tuple]:
+        """classes: of each window the surroundings before, the piece (sizes has its length) and those after, then filling."""
+        place = np.arange(WIDTH)
         x = self.embed[classes]
-        x[:, AROUND : AROUND + PIECE, 0] += 1.0  # marks the candidate
+        x[:, :, 0] += (place >= AROUND) & (place < AROUND + sizes[:, None])  # marks the candidate
         x[:, :AROUND, 1] += 1.0  # and what comes before it, as a name does
         spread = np.lib.stride_tricks.sliding_window_view(x, KERNEL, axis=1).reshape(len(x), WIDTH - KERNEL + 1, DIM * KERNEL)
         maps = spread @ self.filters + self.bias
+        maps[place[: WIDTH - KERNEL + 1] > 2 * AROUND + sizes[:, None] - KERNEL] = -np.inf
         best = maps.argmax(axis=1)
         peak = np.maximum(np.take_along_axis(maps, best[:, None], 1)[:, 0], 0)
         return peak @ self.out + self.out_bias, (spread, best, peak)
 
-    def logits(self, texts: list[str]) -> np.ndarray:
-        """As forward(), by what each character adds at each place of the kernel, in single precision."""
+    def logits(self, classes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """forward() of the pieces [start, end) of one long row of classes, in single precision.
+
+        A mark adds the same at every place that has it, so the characters' part of the maps is made once
+        for each place of the text, and its maximum over 1, 2, 4, 8 and 16 places on. A piece needs a few rows of these.
+        """
         parts = self.filters.reshape(DIM, KERNEL, FILTERS).transpose(1, 0, 2)
-        plain = np.einsum("cd,kdf->kcf", self.embed, parts)
-        adds = np.concatenate([plain, plain + parts[:, None, 0], plain + parts[:, None, 1]], axis=1).astype(np.float32)
-        out = []
-        for i in range(0, len(texts), 256):
-            classes = char_classes(texts[i : i + 256])
-            classes[:, AROUND : AROUND + PIECE] += ALPHABET
-            classes[:, :AROUND] += 2 * ALPHABET
-            maps = adds[0].take(classes[:, : WIDTH - KERNEL + 1], axis=0)
+        adds = np.einsum("cd,kdf->kcf", self.embed, parts).astype(np.float32)
+        inside, before = parts[:, 0].astype(np.float32), parts[:, 1].astype(np.float32)
+        edge = KERNEL - 1  # kernels that lie across one end of the piece
+        across = np.zeros((2, edge, KERNEL + 1, FILTERS), np.float32)  # by end, place before it, length of the piece
+        for side in range(2):
+            for j in range(edge):
+                for n in range(1, KERNEL + 1):
+                    for k in range(KERNEL):
+                        q = j - edge + k + side * n  # the character's place in the piece
+                        across[side, j, n] += before[k] if q < 0 else inside[k] if q < n else 0
+        z = np.empty(len(start))
+        for at in range(0, len(classes), CHUNK):
+            a, b = np.searchsorted(start, [at, at + CHUNK])
+            if a == b:
+                continue
+            low = max(0, at - AROUND)
+            some = classes[low : at + CHUNK + PIECE + AROUND]
+            n = len(some) - edge
+            maps = [adds[0].take(some[:n], axis=0)]
             for k in range(1, KERNEL):
-                maps += adds[k].take(classes[:, k : WIDTH - KERNEL + 1 + k], axis=0)
-            out.append(np.maximum(maps.max(axis=1) + self.bias, 0) @ self.out + self.out_bias)
-        return np.concatenate(out)
-
-    def scores(self, texts: list[str]) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(texts) + self.shift, -30, 30)))
+                maps[0] += adds[k].take(some[k : k + n], axis=0)
+            for k in range(4):
+                wider = maps[-1].copy()
+                np.maximum(wider[: -(1 << k)], maps[-1][1 << k :], out=wider[: -(1 << k)])
+                maps.append(wider)
+            s, e = start[a:b] - low, end[a:b] - low
+            length = e - s
+            clear = AROUND - edge  # kernels that lie in the surroundings on one side: between 17 and 32
+            peak = np.maximum(maps[4][s - AROUND], maps[4][s - edge - 16]) + before.sum(axis=0)
+            np.maximum(peak, maps[4][e], out=peak)
+            np.maximum(peak, maps[4][e + clear - 16], out=peak)
+            for side, end_ in enumerate((s, e)):
+                for j in range(edge):
+                    np.maximum(peak, maps[0][end_ - edge + j] + across[side, j, np.minimum(length, KERNEL)], out=peak)
+            whole = length - edge  # kernels inside the piece
+            for k, low_, high in ((0, 1, 2), (1, 2, 4), (2, 4, 8), (3, 8, 16), (4, 16, PIECE)):
+                rows = np.flatnonzero((whole >= low_) & (whole < high))
+                if len(rows):
+                    first, last = s[rows], e[rows] - edge - (1 << k)
+                    best = np.maximum(maps[k][first], maps[k][last])
+                    if k == 4:
+                        np.maximum(best, maps[k][np.minimum(first + 16, last)], out=best)
+                    peak[rows] = np.maximum(peak[rows], best + inside.sum(axis=0))
+            z[a:b] = np.maximum(peak + self.bias, 0) @ self.out + self.out_bias
+        return z
+
+    def scores(self, classes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.logits(classes, start, end) + self.shift, -30, 30)))
+
+    def window_scores(self, found: list[str]) -> np.ndarray:
+        """Of windows of WIDTH characters, as in the training table."""
+        whole = whole_texts(found)
+        classes, at = laid_out([t for t, _, _ in whole])
+        return self.scores(classes, at + [a for _, a, _ in whole], at + [b for _, _, b in whole])
 
 
 def labelled_findings(n: int = 8000, seed: int = 6) -> list[tuple[str, int]]:
@@ -190,26 +255,32 @@ def labelled_findings(n: int = 8000, seed: int = 6) -> list[tuple[str, int]]:
             text = text.upper()
         rest = [(a, b) for a, b in candidates(text, base_spans(text)) if at <= a and b <= at + len(run)] or [(at, at + len(run))]
         a, b = rest[int(rng.integers(len(rest)))]
-        out.append((windows(text, a, b)[0], i % 2))
+        out.append((window(text, *windows(text, a, b)[0]), i % 2))
     return out
 
 
 def train(findings: list[tuple[str, int]], recall: float = 0.99, epochs: int = 16, seed: int = 6) -> Network:
-    """findings: (window of WIDTH characters, label). A quarter is held out to calibrate and to set the threshold."""
+    """findings: (window of WIDTH characters, label). Seven tenths are fitted, one calibrates, two set the threshold."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.3, (ALPHABET, DIM)), rng.normal(0, 0.15, (DIM * KERNEL, FILTERS)), np.zeros(FILTERS), rng.normal(0, 0.2, FILTERS), 0.0)
     for c in range(128):  # letters, capitals, digits and blanks begin alike
         kind = [chr(c).islower(), chr(c).isupper(), chr(c).isdigit(), chr(c).isspace()]
         net.embed[c] = net.embed[c] * 0.5 + np.array([0, 0, *kind, 0, 0])
-    classes, y = char_classes([t for t, _ in findings]), np.array([label for _, label in findings], float)
+    whole = whole_texts([t for t, _ in findings])
+    row, at = laid_out([t for t, _, _ in whole])
+    row = np.append(row, np.full(WIDTH, PADDING, np.uint8))
+    first = at + np.array([a for _, a, _ in whole], np.int64)
+    sizes = np.array([b - a for _, a, b in whole], np.int64)
+    classes = row[first[:, None] - AROUND + np.arange(WIDTH)].astype(np.int64)
+    y = np.array([label for _, label in findings], float)
     order = rng.permutation(len(y))
-    held, fit = order[: len(y) // 4], order[len(y) // 4 :]
+    held, last, fit = np.split(order, [len(y) // 10, 3 * (len(y) // 10)])
     state = {k: [np.zeros_like(np.asarray(getattr(net, k), float)) for _ in range(2)] for k in ("embed", "filters", "bias", "out", "out_bias")}
     step = 0
     parts = max(1, len(fit) // 64)
     for _ in range(max(epochs, -(-STEPS // parts))):
         for batch in np.array_split(rng.permutation(fit), parts):
-            z, (spread, best, peak) = net.forward(classes[batch])
+            z, (spread, best, peak) = net.forward(classes[batch], sizes[batch])
             dz = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]) / max(1, len(batch))
             dpeak = dz[:, None] * net.out * (peak > 0)
             rows = np.arange(len(batch))[:, None]
@@ -224,13 +295,13 @@ def train(findings: list[tuple[str, int]], recall: float = 0.99, epochs: int = 1
                 m[...], v[...] = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * np.square(g)
                 new = getattr(net, k) - 3e-3 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
                 setattr(net, k, float(new) if k == "out_bias" else new)
-    z = net.forward(classes[held])[0] if len(held) else np.zeros(0)
+    z = net.forward(classes[held], sizes[held])[0] if len(held) else np.zeros(0)
     for _ in range(500):  # Platt scaling
         p = 1 / (1 + np.exp(-np.clip(net.scale * z + net.shift, -30, 30)))
         if len(z):
             net.scale -= 0.1 * float(((p - y[held]) * z).mean())
             net.shift -= 0.1 * float((p - y[held]).mean())
-    positives = np.sort(scanned([findings[i][0] for i in held if findings[i][1] == 1], net))
+    positives = np.sort(scanned([findings[i][0] for i in last if findings[i][1] == 1], net))
     if len(positives):
         net.threshold = float(positives[int((1 - recall) * len(positives))])
     return net
@@ -238,41 +309,50 @@ def train(findings: list[tuple[str, int]], recall: float = 0.99, epochs: int = 1
 
 def scanned(found: list[str], net: Network) -> np.ndarray:
     """For windows of WIDTH characters, the highest threshold at which a scan of each as a text covers its whole piece."""
-    texts = [w.replace("\0", "") for w in found]
-    starts = [AROUND - w[:AROUND].count("\0") for w in found]
-    ends = [a + PIECE - w[AROUND : AROUND + PIECE].count("\0") for a, w in zip(starts, found)]
+    whole = whole_texts(found)
+    spans, owner, first, end, score = scored([t for t, _, _ in whole], net)
     out = np.ones(len(found))
-    for i, (spans, scores) in enumerate(scored(texts, net)):
-        for c in range(starts[i], ends[i]):
-            if WORDLIKE.match(texts[i][c]) and not any(a <= c < b for a, _, b in spans):
-                out[i] = min(out[i], max((s for a, b, s in scores if a <= c < b), default=0.0))
+    for i, (text, a, b) in enumerate(whole):
+        mine = np.flatnonzero(owner == i)
+        for c in range(a, b):
+            if WORDLIKE.match(text[c]) and not any(x <= c < y for x, _, y in spans[i]):
+                out[i] = min(out[i], max((score[k] for k in mine if first[k] <= c < end[k]), default=0.0))
     return out
 
 
-def scored(texts: list[str], net: Network) -> list[tuple[list[tuple[int, int, int]], list[tuple[int, int, float]]]]:
-    """The rules' (start, kind, end) of each text, and (start, end, score) of its candidates; of a long one the highest score."""
-    out = []
-    pieces, owners = [], []
-    for i, text in enumerate(texts):
-        spans = base_spans(text)
-        out.append((spans, []))
-        for a, b in candidates(text, spans):
-            for w in windows(text, a, b):
-                pieces.append(w)
-                owners.append((i, a, b))
-    if pieces:
-        for (i, a, b), s in zip(owners, net.scores(pieces).tolist()):
-            found = out[i][1]
-            if found and found[-1][:2] == (a, b):
-                found[-1] = (a, b, max(s, found[-1][2]))
-            else:
-                found.append((a, b, s))
-    return out
+def scored(texts: list[str], net: Network) -> tuple[list[list[tuple[int, int, int]]], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The rules' (start, kind, end) of each text; the text, start, end and score of each candidate, in order. A long one has its pieces' highest score."""
+    spans = [base_spans(t) for t in texts]
+    classes, at = laid_out(texts)
+    key = KEY[classes].view(np.int8)
+    step = np.diff(key)
+    start, end = np.flatnonzero(step == 1) + 1, np.flatnonzero(step == -1) + 1
+    word = np.concatenate([[0], np.cumsum(WORD[classes])])
+    good = (end - start >= LEAST) & (word[end] > word[start])
+    start, end = start[good], end[good]
+    owner = np.searchsorted(at, start, side="right") - 1
+    if any(spans):  # texts in which rules have found something: what is left of the runs
+        own = [(i, a, b) for i, s in enumerate(spans) if s for a, b in candidates(texts[i], s)]
+        i, a, b = np.array(own, np.int64).reshape(-1, 3).T
+        clear = ~np.array([bool(s) for s in spans])[owner]
+        start, end, owner = np.concatenate([start[clear], a + at[i]]), np.concatenate([end[clear], b + at[i]]), np.concatenate([owner[clear], i])
+        order = np.argsort(start, kind="stable")
+        start, end, owner = start[order], end[order], owner[order]
+    pieces = np.where(end - start > PIECE, -(-(end - start - PIECE) // (PIECE // 2)) + 1, 1)
+    of = np.repeat(np.arange(len(start)), pieces)
+    a = start[of] + (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * (PIECE // 2)
+    score = np.zeros(len(start))
+    if len(of):
+        score = np.maximum.reduceat(net.scores(classes, a, np.minimum(a + PIECE, end[of])), np.cumsum(pieces) - pieces)
+    return spans, owner, start - at[owner], end - at[owner], score
 
 
 def text_spans(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
     """All (start, kind, end) of each text, sorted."""
-    return [sorted([*spans, *((a, 3, b) for a, b, s in found if s >= net.threshold)]) for spans, found in scored(texts, net)]
+    spans, owner, start, end, score = scored(texts, net)
+    for k in np.flatnonzero(score >= net.threshold).tolist():
+        spans[owner[k]].append((int(start[k]), 3, int(end[k])))
+    return [sorted(s) for s in spans]
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:
