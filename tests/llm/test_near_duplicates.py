@@ -71,6 +71,56 @@ def test_links_that_no_pivot_shows(spark, monkeypatch):
     assert calls and got == brute(rows, 2)
 
 
+@pytest.mark.parametrize("few", [0, 64])
+def test_a_large_group_of_near_copies(spark, monkeypatch, few):
+    """Copies of one text with many edits: some link with its origin, some with each other only, some with none."""
+    monkeypatch.setattr(minhash, "FEW", few)
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    base, rows = [rng.choice(words) for _ in range(80)], []
+    for i in range(260):
+        copy = list(base)
+        for _ in range(rng.randint(0, 14)):
+            copy[rng.randrange(80)] = rng.choice(words)
+        rows.append((i, " ".join(copy)))
+    want = brute(rows, 2)
+    assert len({r[2] for r in want}) > 20
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((tuple(r) for r in minhash.near_duplicates(docs, words=2).collect()), key=repr) == want
+
+
+def test_rows_dealt_to_blocks_stay_linear_in_one_block(spark, monkeypatch):
+    rows = [(7, 0, i, 0 if i % 3 else i) for i in range(1000)] + [(8, 1, i, 5) for i in range(50)]
+    buckets = spark.createDataFrame(rows, "key long, band int, id long, comp long")
+    assert minhash.in_blocks(buckets).count() == 1000  # a bucket of one component has nothing to settle
+    monkeypatch.setattr(minhash, "BLOCK", 100)
+    dealt = minhash.in_blocks(buckets).collect()
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault(r["task"], []).append(r)
+    met = set()
+    for some in tasks.values():
+        met |= {(x["id"], y["id"]) for x in some if x["asks"] for y in some if y["answers"] and x["comp"] != y["comp"]}
+    comp = {i: c for k, _, i, c in rows if k == 7}
+    assert met == {(x, y) for x in comp for y in comp if comp[x] != 0 and comp[x] != comp[y]}
+
+
+def test_ids_with_several_texts(spark):
+    rows = corpus(3)[:60]
+    rows += [(rows[0][0], rows[1][1]), (rows[2][0], "alone and unlike all others"), (rows[2][0], rows[9][1]), (None, rows[4][1]), (rows[5][0], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in minhash.near_duplicates(docs, words=2).collect()), key=repr)
+    assert got == brute(rows, 2)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(5)
+    text = [f"w{rng.randrange(10**6)}" for _ in range(150_000)]
+    rows = [(1, " ".join(text)), (2, " ".join(text[:140_000])), (3, " ".join(text[:60_000])), (4, "x" * 1_000_000), (5, "x" * 1_000_000)]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
 def test_pairs_whose_sketch_bytes_agree_in_an_earlier_band(spark, monkeypatch):
     """Bytes of the minima agree by chance in a band whose keys differ; the pair meets in a later one."""
     rng, bands, size = random.Random(3), 42, 6
