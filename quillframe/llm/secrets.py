@@ -44,7 +44,7 @@ PIECE, AROUND = 48, 24  # characters of a candidate in one window, and on either
 WIDTH = PIECE + 2 * AROUND
 OTHER, PADDING, ALPHABET = 128, 129, 130  # character classes beyond ASCII
 DIM, FILTERS, KERNEL = 8, 24, 5
-CHUNK = 1 << 16  # characters whose maps are held at a time
+CHUNK = 1 << 12  # characters whose maps are held at a time
 STEPS = 1500  # of training, at least
 KEY, WORD = (np.array([chr(c).isascii() and bool(re.match(p, chr(c))) for c in range(ALPHABET)]) for p in (r"[A-Za-z0-9+/_.=-]", WORDLIKE))  # by class
 
