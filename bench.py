@@ -11,10 +11,11 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.operators import analytics
-from quillframe.operators.measure import best_seconds
+from quillframe.operators.measure import best_seconds, measured
 from quillframe.options import ReadOptions
 from quillframe.plans.driver_queries import _priced, exported
 from quillframe.sources.reader import read_common, read_csv
+from quillframe.sources.records import size_of
 
 CLEAN = "l_orderkey:int, l_extendedprice:float, l_returnflag:str"
 MESSY = "doc_id:int, text:str, lang:str"
@@ -46,7 +47,11 @@ def main() -> None:
         "count_messy": lambda: read_csv(spark, messy, "doc_id:int").agg(F.count("*")),
     }
     times = {name: round(best_seconds(make), 3) for name, make in runs.items()}
-    print(json.dumps({"metric": "csv_reads_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/"))}))
+    table = {}
+    for name, path in (("common_clean", clean), ("strict_clean", clean), ("strict_clean_lazy", clean), ("common_messy", messy), ("strict_messy", messy), ("strict_messy_lazy", messy)):
+        found = measured(runs[name])
+        table[name] = {"rows_s": round(found["rows"] / times[name]), "mb_s": round(size_of(spark, path) / 1e6 / times[name], 1), "partitions": found["partitions"], "heap_mb": round(found["heap_mb"])}
+    print(json.dumps({"metric": "csv_reads_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")), "rates": table}))
     spark.stop()
 
 

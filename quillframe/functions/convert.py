@@ -12,7 +12,7 @@ SPECIAL = r"^(?i:nan|[+-]?inf(?:inity)?)\z"
 MONEY = r"^[0-9]+(?:[.][0-9]{2})?\z"
 BLANK = r"^\s*\z"
 
-TYPES = {"int": "bigint", "float": "double", "str": "string", "u64": "decimal(20,0)", "u32": "bigint", "cents": "bigint"}
+TYPES = {"int": "bigint", "float": "double", "str": "string", "u64": "decimal(20,0)", "u32": "bigint", "cents": "bigint", "name": "string"}
 
 
 def strict_int(cell: Column) -> Column:
@@ -48,7 +48,12 @@ def text(cell: Column) -> Column:
     return cell
 
 
-CONVERT = {"int": strict_int, "float": strict_float, "str": text, "u64": unsigned64, "u32": unsigned32, "cents": money_cents}
+def name(cell: Column) -> Column:
+    """Text that is valid and not empty."""
+    return F.when((F.length(cell) > 0) & F.is_valid_utf8(cell), cell)
+
+
+CONVERT = {"int": strict_int, "float": strict_float, "str": text, "u64": unsigned64, "u32": unsigned32, "cents": money_cents, "name": name}
 
 
 def preview(cell: Column) -> Column:
@@ -57,4 +62,5 @@ def preview(cell: Column) -> Column:
 
 
 def display_money(cents: Column) -> Column:
+    """Cents as an exact amount with two decimals."""
     return (cents.cast("decimal(20,2)") / 100).cast("decimal(20,2)")

@@ -7,31 +7,38 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillframe.errors import TooManyCategories
+from quillframe.sources.records import kept
 
-MAX_CATEGORIES = 65_536
+MAX_CATEGORIES, MAX_DICTIONARY_BYTES = 65_536, 64 << 20
 
 
 def dictionary_of(rows: DataFrame, column: str, order: list[str], most: int = MAX_CATEGORIES) -> DataFrame:
-    """code, column: distinct values numbered from 0 by first appearance in the given order."""
+    """code, column: distinct values numbered from 0 by first appearance in the given order. Made once, in the shared folder."""
     first = rows.groupBy(column).agg(F.min(F.struct(*order)).alias("first")).limit(most + 1)
     # at most `most` + 1 rows come to the one task that numbers them
-    found = first.select((F.row_number().over(Window.orderBy("first")) - 1).alias("code"), column)
+    found = kept(first.select((F.row_number().over(Window.orderBy("first")) - 1).alias("code"), column))
     if found.count() > most:
         raise TooManyCategories(f"more than {most} distinct values of {column}")
     return found
 
 
+def small(dictionary: DataFrame, column: str) -> DataFrame:
+    """For a join: broadcast if the names' bytes allow it."""
+    size = dictionary.agg(F.coalesce(F.sum(F.octet_length(column) + 16), F.lit(0))).first()[0]
+    return F.broadcast(dictionary) if size <= MAX_DICTIONARY_BYTES else dictionary
+
+
 def encode(rows: DataFrame, column: str, order: list[str], most: int = MAX_CATEGORIES) -> tuple[DataFrame, DataFrame]:
-    """rows with column as its code, and the dictionary (code, column); the dictionary's size is checked, so it is broadcast."""
+    """rows with column as its code, and the dictionary (code, column), of at most `most` entries."""
     codes = dictionary_of(rows, column, order, most)
     names = [F.col("code").alias(c) if c == column else F.col(c) for c in rows.columns]
-    return rows.join(F.broadcast(codes), column).select(*names), codes
+    return rows.join(small(codes, column), column).select(*names), codes
 
 
 def decode(rows: DataFrame, dictionary: DataFrame, column: str) -> DataFrame:
     """rows with the codes in column as text again."""
-    names = dictionary.select(F.col("code").alias("__code"), F.col(column).alias("__name"))
-    joined = rows.join(F.broadcast(names), F.col(column) == F.col("__code"))
+    names = small(dictionary.select(F.col("code").alias("__code"), F.col(column).alias("__name")), "__name")
+    joined = rows.join(names, F.col(column) == F.col("__code"))
     return joined.select(*(F.col("__name").alias(c) if c == column else F.col(c) for c in rows.columns))
 
 

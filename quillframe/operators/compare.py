@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillframe.sources.records import kept
+
 
 def same_rows(a: DataFrame, b: DataFrame) -> bool:
     """Equal as bags of rows; NaN equals NaN, null equals null."""
@@ -29,16 +31,18 @@ def mismatches(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def same_outcome(a: Callable[[], DataFrame], b: Callable[[], DataFrame]) -> bool:
-    """Both give equal rows, or both fail."""
+    """Both give equal rows, or both fail, with the same code where their errors have one. Each plan runs once, into the shared folder."""
 
-    def outcome(f: Callable[[], DataFrame]) -> DataFrame | None:
+    def outcome(f: Callable[[], DataFrame]) -> DataFrame | str:
         try:
-            return f().cache() if not f().isEmpty() else f()
-        except Exception:  # noqa: BLE001  any failure counts as one
-            return None
+            return kept(f())
+        except Exception as e:  # noqa: BLE001  any failure is an outcome
+            return getattr(e, "code", "")
 
     x, y = outcome(a), outcome(b)
-    return x is None and y is None if x is None or y is None else same_rows(x, y)
+    if isinstance(x, str) or isinstance(y, str):
+        return isinstance(x, str) and isinstance(y, str) and (x == y or not x or not y)
+    return same_rows(x, y)
 
 
 def integrity(got: DataFrame, truth: DataFrame, key: str) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Timing and cancellation of whole plans."""
+"""Timing, memory and cancellation of whole plans."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillframe.errors import Cancelled
 
@@ -21,6 +22,21 @@ def best_seconds(make: Callable[[], DataFrame], runs: int = 3) -> float:
     return best
 
 
+def measured(make: Callable[[], DataFrame]) -> dict[str, float]:
+    """seconds, rows, partitions and heap_mb (the peak of the driver's JVM heap, which holds the executor on a local master) of one run."""
+    plan = make()
+    jvm = plan.sparkSession._jvm
+    pools = [p for p in jvm.java.lang.management.ManagementFactory.getMemoryPoolMXBeans() if p.getType().toString().startswith("Heap")]
+    jvm.System.gc()
+    for p in pools:
+        p.resetPeakUsage()
+    began = time.perf_counter()
+    rows = plan.select(F.count("*")).first()[0]
+    plan.write.format("noop").mode("overwrite").save()
+    seconds = time.perf_counter() - began
+    return {"seconds": seconds, "rows": rows, "partitions": plan.rdd.getNumPartitions(), "heap_mb": sum(p.getPeakUsage().getUsed() for p in pools) / 1e6}
+
+
 @contextmanager
 def cancellable(spark: SparkSession, tag: str) -> Iterator[None]:
     """Jobs started inside carry the tag; cancel(spark, tag) from another thread ends them with Cancelled."""

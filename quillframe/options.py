@@ -7,16 +7,18 @@ from dataclasses import dataclass
 
 from quillframe.errors import DuplicateColumn, InvalidOptions, UnknownColumn
 
-KINDS = ("int", "float", "str", "u64", "u32", "cents")
+KINDS = ("int", "float", "str", "u64", "u32", "cents", "name")
 
 
 @dataclass(frozen=True)
 class ReadOptions:
-    """chunk_bytes: size of a file split (the session's if None). workers: 1 reads with one task.
+    """chunk_bytes: size of a file split (the session's if None). workers: tasks at most that read the input (Spark's choice if None).
 
     max_record_bytes: limit of every record and of the header, without line ending.
     blank_lines: skip or error. validate: check all records before returning, so that the first
-    error in file order is raised; without it the result is lazy and bad cells are null.
+    error in file order is raised; without it the result is lazy: bad cells are null, a record that is none
+    (wrong number of fields, bad quotes, too long) has null in every column, and a file whose header differs
+    from the first file's fails when its rows are read.
     """
 
     chunk_bytes: int | None = None

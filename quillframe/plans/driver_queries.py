@@ -7,19 +7,21 @@ session's shared folder) and reads them back with the engine.
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillframe.operators import analytics, compare
 from quillframe.errors import CsvError
+from quillframe.functions.convert import display_money
+from quillframe.operators import analytics, compare
 from quillframe.options import ReadOptions
 from quillframe.sources.money import read_money
 from quillframe.sources.reader import read_common, read_csv, read_naive
-from quillframe.sources.sinks import write_csv
+from quillframe.sources.records import remove, shared_folder
+from quillframe.sources.sinks import benchmark_rows, money_rows, write_csv
+from quillframe.streaming.incremental import stream_csv
 
 _exports: dict[tuple[str, str], str] = {}
 
@@ -27,16 +29,28 @@ _exports: dict[tuple[str, str], str] = {}
 def _folder(spark: SparkSession) -> str:
     key = (spark.sparkContext.applicationId, "")
     if key not in _exports:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared:
-            _exports[key] = f"{shared}/quillframe-csv-{uuid.uuid4().hex}"
-        else:
-            kept = tempfile.TemporaryDirectory(prefix="quillframe-csv-")
-            atexit.register(kept.cleanup)
-            _exports[key] = kept.name
+        _exports[key] = f"{shared_folder(spark)}/quillframe-csv-{uuid.uuid4().hex}"
+        atexit.register(_gone, spark, _exports[key])
     return _exports[key]
 
 
+def _gone(spark: SparkSession, path: str) -> None:
+    try:
+        remove(spark, path)
+    except Exception:  # noqa: BLE001  the session may have ended
+        pass
+
+
+def put(spark: SparkSession, name: str, data: bytes) -> str:
+    """Path of a small file with these bytes in the session's shared folder."""
+    path = f"{_folder(spark)}/{uuid.uuid4().hex}-{name}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    stream.write(bytearray(data))
+    stream.close()
+    return path
+
+
 def exported(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame] | None = None) -> str:
     """Path of the CSV export of a table, or of what make() gives, under that name."""
     key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}")
@@ -166,6 +180,97 @@ def partition_invariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.agg((F.sum("n") / 2).cast("bigint").alias("n"), F.sum(F.abs("d")).alias("mismatches"))
 
 
+def _outcome(read: Callable[[], DataFrame]) -> tuple[str, int | None]:
+    """Code and offset of the error that reading raises."""
+    try:
+        read().collect()
+    except CsvError as e:
+        return e.code, e.offset
+    return "NONE", None
+
+
+def error_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte offsets of bad records: with and without a byte order mark, after quoted newlines and carriage returns, in small splits."""
+    body = b"a,b\n" + b"1,2\n" * 3000 + b"x,2\n" + b"1,2\n" * 3000
+    small = ReadOptions(chunk_bytes=4096)
+    cases = [
+        ("plain", body, small),
+        ("mark", b"\xef\xbb\xbf" + body, small),
+        ("mark, one split", b"\xef\xbb\xbf" + body, ReadOptions()),
+        ("quoted newlines", b"\xef\xbb\xbfa,b\n" + b'1,"x\ny"\n' * 2000 + b"1\n", small),
+        ("carriage returns", b"a,b\r\n" + b"1,2\r\n" * 10 + b'1,2"3"\r\n', ReadOptions()),
+    ]
+    found = [(name, *_outcome(lambda d=data, o=options: read_csv(spark, put(spark, "offsets.csv", d), "a:int", o))) for name, data, options in cases]
+    return spark.createDataFrame(found, "name string, code string, byte_offset long")
+
+
+def typed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code of every kind of failure."""
+    read = lambda data, schema="a:int", **options: lambda: read_csv(spark, put(spark, "errors.csv", data), schema, ReadOptions(**options))
+    many = b"k,v\n" + b"".join(b"%d,1\n" % i for i in range(40))
+    cases = [
+        ("unknown column", read(b"b\n1\n")),
+        ("column requested twice", read(b"a\n1\n", [("a", "int"), ("a", "str")])),
+        ("empty file", read(b"")),
+        ("too few fields", read(b"a,b\n1\n")),
+        ("bad number", read(b"a\n1.0\n")),
+        ("open quote", read(b'a,b\n1,"z\n')),
+        ("quote inside a field", read(b'a,b\n1,z"z\n')),
+        ("long record", read(b"a\n" + b"1" * 30 + b"\n", max_record_bytes=20)),
+        ("no columns", read(b"a\n1\n", [])),
+        ("other header", lambda: read_money(spark, put(spark, "errors.csv", b"id,user\n1,2\n")).rows),
+        ("no text", read(b"a\n\xff\n", "a:str")),
+        ("many categories", lambda: analytics.dictionary_of(read(many, "k:str, v:int")(), "k", ["v"], 30)),
+        ("no file", lambda: read_csv(spark, f"{_folder(spark)}/none.csv", "a:int")),
+    ]
+    return spark.createDataFrame([(name, _outcome(case)[0]) for name, case in cases], "name string, code string")
+
+
+def stream_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a folder, read as a stream in two batches at least where there are several."""
+    folder, at = exported(spark, sf_dir, "orders"), f"{_folder(spark)}/{uuid.uuid4().hex}"
+    stream_csv(spark, folder, "o_orderkey:int, o_custkey:int, o_orderpriority:str", lambda df, n: df.drop("file").write.mode("append").parquet(f"{at}/rows"), f"{at}/log", files_per_batch=2).awaitTermination()
+    return spark.read.parquet(f"{at}/rows")
+
+
+def generated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generated clean, messy and money files: rows, rows on which strict and common reader differ, categories."""
+    out = []
+    for name, rows, schema, column in (
+        ("clean", benchmark_rows(spark, 4000), "id:int, amount:float, category:str, note:str", "category"),
+        ("messy", benchmark_rows(spark, 4000, messy=True), "id:int, amount:float, category:str, note:str", "category"),
+        ("money", money_rows(spark, 4000), "id:u64, amount:cents, category:str, note:str", "category"),
+    ):
+        path = exported(spark, "", f"generated-{name}", lambda rows=rows: rows.coalesce(2))
+        strict, common = read_csv(spark, path, schema), read_common(spark, path, schema)
+        out.append((name, strict.count(), compare.mismatches(strict, common, "id").count(), strict.select(column).distinct().count()))
+    return spark.createDataFrame(out, "name string, n long, mismatches long, categories long")
+
+
+def common_scan_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_common(spark, _money_file(spark, sf_dir), "id:u64, user_id:u32, amount:cents, category:str")
+    return found.select(F.col("id").cast("bigint").alias("id"), "user_id", F.col("amount").alias("amount_cents"), "category")
+
+
+def money_display(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _money(spark, sf_dir).select("l_orderkey", "l_linenumber", display_money(F.col("l_extendedprice")).cast("string").alias("amount"))
+
+
+def lossy_money(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose cents a detour by doubles changes, cutting off and rounding."""
+    path, schema = _priced(spark, sf_dir, "lineitem", "l_extendedprice"), "l_orderkey:int, l_linenumber:int, l_extendedprice:cents"
+    each = [read_naive(spark, path, schema, money).select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias(money)) for money in ("truncate", "round")]
+    both = read_csv(spark, path, schema).join(each[0], ["l_orderkey", "l_linenumber"]).join(each[1], ["l_orderkey", "l_linenumber"])
+    differs = lambda c: F.sum((F.col(c) != F.col("l_extendedprice")).cast("long"))
+    return both.agg(F.count("*").alias("n"), differs("truncate").alias("cut_off"), differs("round").alias("rounded"))
+
+
+def lazy_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lazy read of ragged records: null where a record is none, null where a cell is bad."""
+    path = put(spark, "ragged.csv", b"a,b,c\n1,2,3\n4,5\n6,7,8,9\nx,10,11\n12,\"y\"\"z\",13\n")
+    return read_csv(spark, path, "a:int, b:str", ReadOptions(validate=False))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scan_typed_lineitem": _read("lineitem", "l_orderkey:int, l_linenumber:int, l_extendedprice:float, l_returnflag:str"),
     "scan_quoted_documents": _read("documents", "doc_id:int, text:str, lang:str"),
@@ -175,7 +280,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "projection_reorder": _read("orders", "o_orderpriority:str, o_orderkey:int"),
 } | {
     f.__name__: f
-    for f in (common_scan_documents, empty_float_nan, money_cents, money_total, money_by_category, money_top3, money_profile, money_profile_by_category, dict_codes, dict_decode, count_rows, blank_lines_skipped, naive_integrity, errors_first, partition_invariance)
+    for f in (common_scan_documents, empty_float_nan, money_cents, money_total, money_by_category, money_top3, money_profile, money_profile_by_category, dict_codes, dict_decode, count_rows, blank_lines_skipped, naive_integrity, errors_first, partition_invariance, error_offsets, typed_errors, stream_scan, generated_files, common_scan_money, money_display, lossy_money, lazy_ragged)
 }
 
 CENTS = "cast(cast(l_extendedprice as decimal(18,2)) * 100 as bigint)"
@@ -200,4 +305,23 @@ ORACLE_SQL: dict[str, str] = {
     "blank_lines_skipped": "select cast(n_nationkey as bigint) as n_nationkey, n_name from nation",
     "errors_first": "select 'BAD_VALUE' as code, 'x' as cell",
     "partition_invariance": "select count(*) as n, cast(0 as bigint) as mismatches from documents",
+    "error_offsets": """
+        select * from (values ('plain', 'BAD_VALUE', cast(4 + 4 * 3000 as bigint)), ('mark', 'BAD_VALUE', 3 + 4 + 4 * 3000), ('mark, one split', 'BAD_VALUE', 3 + 4 + 4 * 3000),
+            ('quoted newlines', 'FIELD_COUNT', 3 + 4 + 8 * 2000), ('carriage returns', 'BARE_QUOTE', 5 + 5 * 10)) as t(name, code, byte_offset)
+    """,
+    "typed_errors": """
+        select * from (values ('unknown column', 'UNKNOWN_COLUMN'), ('column requested twice', 'DUPLICATE_COLUMN'), ('empty file', 'EMPTY_INPUT'), ('too few fields', 'FIELD_COUNT'),
+            ('bad number', 'BAD_VALUE'), ('open quote', 'UNTERMINATED_QUOTE'), ('quote inside a field', 'BARE_QUOTE'), ('long record', 'RECORD_TOO_LARGE'), ('no columns', 'INVALID_OPTIONS'),
+            ('other header', 'BAD_HEADER'), ('no text', 'INVALID_UTF8'), ('many categories', 'TOO_MANY_CATEGORIES'), ('no file', 'FILE_NOT_FOUND')) as t(name, code)
+    """,
+    "stream_scan": "select o_orderkey, o_custkey, o_orderpriority from orders",
+    "generated_files": "select * from (values ('clean', cast(4000 as bigint), cast(0 as bigint), cast(7 as bigint)), ('messy', 4000, 0, 7), ('money', 4000, 0, 6)) as t(name, n, mismatches, categories)",
+    "common_scan_money": f"select cast(l_orderkey * 10 + l_linenumber as bigint) as id, l_suppkey as user_id, {CENTS} as amount_cents, l_returnflag as category from lineitem",
+    "money_display": "select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, cast(cast(l_extendedprice as decimal(18,2)) as varchar) as amount from lineitem",
+    "lossy_money": f"""
+        with cents as (select cast(cast(l_extendedprice as decimal(18,2)) as double) * 100 as x, {CENTS} as exact from lineitem)
+        select count(*) as n, cast(sum(case when cast(trunc(x) as bigint) <> exact then 1 else 0 end) as bigint) as cut_off,
+               cast(sum(case when cast(round(x) as bigint) <> exact then 1 else 0 end) as bigint) as rounded from cents
+    """,
+    "lazy_ragged": "select * from (values (cast(1 as bigint), '2'), (null, null), (null, null), (null, '10'), (12, 'y\"z')) as t(a, b)",
 }

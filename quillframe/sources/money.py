@@ -5,16 +5,14 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from quillframe.errors import BadValue
 from quillframe.operators import analytics
 from quillframe.options import ReadOptions
 from quillframe.sources.reader import ORDER, read_csv
 
 # The header and the kinds of the projected columns.
 HEADER = "id,user_id,note,amount,category"
-COLUMNS = [("id", "u64"), ("user_id", "u32"), ("amount", "cents"), ("category", "str")]
+COLUMNS = [("id", "u64"), ("user_id", "u32"), ("amount", "cents"), ("category", "name")]
 
 
 @dataclass(frozen=True)
@@ -44,7 +42,5 @@ def read_money(spark: SparkSession, path: str, options: ReadOptions | None = Non
     """Strict read of the money schema; blank lines and empty categories are errors, ids take no plus sign."""
     options = replace(options or ReadOptions(), blank_lines="error")
     rows = read_csv(spark, path, COLUMNS, options, keep_order=True, exact_header=HEADER).withColumnRenamed("amount", "amount_cents")
-    if options.validate and not rows.where("category = ''").isEmpty():
-        raise BadValue("a category is empty")
     coded, dictionary = analytics.encode(rows, "category", ORDER)
-    return MoneyTable(coded.select("id", "user_id", "amount_cents", F.col("category")), dictionary)
+    return MoneyTable(coded.select("id", "user_id", "amount_cents", "category"), dictionary)

@@ -14,39 +14,74 @@ import atexit
 import shutil
 import tempfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from quillframe.errors import InvalidOptions
+
 _folders: list[str] = []
 MAX_BROADCAST_BLOCKS = 1 << 18  # block rows of about 100 bytes
+MAX_DRIVER_BLOCKS = 1 << 12  # up to so many block rows are numbered on the driver, more in the shared folder
+BOM = b"\xef\xbb\xbf"
 
 
-def lines(spark: SparkSession, path: str, single: bool = False) -> DataFrame:
-    """file, blk (offset of the split), pos (order inside a scan), value (binary, without line end)."""
+def lines(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
+    """file, blk (offset of the split), pos (order inside a scan), value (binary, without line end), read by `tasks` tasks at most."""
     # the split size, as an option, keeps scans with different splits apart when one plan holds both
     reader = spark.read.option("lineSep", "\n").option("splitBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"))
     scan = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"), F.col("value"))
-    return (scan.coalesce(1) if single else scan).select("file", "blk", F.monotonically_increasing_id().alias("pos"), F.col("value").cast("binary").alias("value"))
+    return (scan.coalesce(tasks) if tasks else scan).select("file", "blk", F.monotonically_increasing_id().alias("pos"), F.col("value").cast("binary").alias("value"))
 
 
-def kept(table: DataFrame) -> DataFrame:
-    """A small table written once to the session's shared folder, so that later steps don't scan the input for it."""
-    spark = table.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one only where the master is local (tests)."""
     sc = spark.sparkContext
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not path:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise InvalidOptions("spark.checkpoint.dir must name a folder that driver and executors share")
+        _folders.append(tempfile.mkdtemp(prefix="quillframe-"))
+        atexit.register(shutil.rmtree, _folders[-1], True)
+        path = _folders[-1]
     if sc.getCheckpointDir() is None:
-        path = spark.conf.get("spark.checkpoint.dir", None)
-        if not path:
-            _folders.append(tempfile.mkdtemp(prefix="quillframe-"))
-            atexit.register(shutil.rmtree, _folders[-1], True)
-        sc.setCheckpointDir(path or _folders[-1])
+        sc.setCheckpointDir(path)
+    return path
+
+
+def kept(table: DataFrame) -> DataFrame:
+    """A small table written once to the session's shared folder, so that later steps don't scan the input for it."""
+    shared_folder(table.sparkSession)
     return table.checkpoint(eager=True)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, wherever it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+
+
+def has_mark(spark: SparkSession, file: str) -> bool:
+    """Whether a file starts with a byte order mark, which the scan leaves out."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(file)
+    stream = path.getFileSystem(spark._jsc.hadoopConfiguration()).open(path)
+    try:
+        return [stream.read() for _ in BOM] == list(BOM)
+    finally:
+        stream.close()
+
+
 def head(spark: SparkSession, file: str, limit: int) -> str | None:
     """The first record of a file, or as much of it as exceeds limit; None if the file is empty. Reads its first lines only."""
     n = 1
@@ -62,15 +97,20 @@ def head(spark: SparkSession, file: str, limit: int) -> str | None:
         n *= 4
 
 
-def quotes(value) -> F.Column:
+def quotes(value: Column) -> Column:
+    """Number of quotes; texts without one, the usual case, are only searched."""
     plain = value.cast("string")
-    return F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit('"'), F.lit("")))
+    return F.when(plain.contains('"'), F.octet_length(plain) - F.octet_length(F.replace(plain, F.lit('"'), F.lit("")))).otherwise(0)
 
 
-def blocks(scan: DataFrame) -> DataFrame:
-    """One row a block: its odd lines and bytes, the parity it starts with, where an open record began, and its offset."""
+def counted(scan: DataFrame) -> DataFrame:
+    """One row a block: its odd lines, bytes and first position. One pass over the input, combined before its shuffle."""
     odd = quotes(F.col("value")) % 2
-    each = scan.groupBy("file", "blk").agg(F.sum(odd).alias("odd"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.min("pos").alias("first"))
+    return scan.groupBy("file", "blk").agg(F.sum(odd).alias("odd"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.min("pos").alias("first"))
+
+
+def placed(each: DataFrame) -> DataFrame:
+    """Blocks with the parity they start with, where an open record began, and their offset."""
     before = Window.partitionBy("file").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
     found = each.withColumn("inside", F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2).withColumn("offset", F.coalesce(F.sum("bytes").over(before), F.lit(0)))
     # a block opens the record that is open at its end if it starts outside one, or closes one and opens another
@@ -79,6 +119,41 @@ def blocks(scan: DataFrame) -> DataFrame:
     return found.select("file", "blk", "odd", "inside", "opened", "offset", "first")
 
 
+@dataclass(frozen=True)
+class Blocks:
+    """table: file, blk, odd, inside, opened, offset, first. quoted: whether a line of odd quotes was seen. file: the first one."""
+
+    table: DataFrame
+    number: int
+    quoted: bool
+    file: str | None
+
+    def small(self, table: DataFrame) -> DataFrame:
+        """For a join: broadcast where the table's size allows it."""
+        return F.broadcast(table) if self.number <= MAX_BROADCAST_BLOCKS else table
+
+
+def blocks(scan: DataFrame) -> Blocks:
+    spark = scan.sparkSession
+    if scan.rdd.getNumPartitions() <= MAX_DRIVER_BLOCKS // 4:
+        found = counted(scan).limit(MAX_DRIVER_BLOCKS + 1).collect()
+        if len(found) <= MAX_DRIVER_BLOCKS:
+            found.sort(key=lambda r: (r["file"], r["blk"]))
+            rows, file, inside, offset, opened = [], None, 0, 0, None
+            for r in found:
+                if r["file"] != file:
+                    file, inside, offset, opened = r["file"], 0, 0, None
+                rows.append((file, r["blk"], r["odd"], inside, opened if inside else None, offset, r["first"]))
+                after = (inside + r["odd"]) % 2
+                opened = r["blk"] if after and r["odd"] else opened
+                inside, offset = after, offset + r["bytes"]
+            table = spark.createDataFrame(rows, "file string, blk long, odd long, inside long, opened long, offset long, first long")
+            return Blocks(table, len(rows), any(r[2] for r in rows), rows[0][0] if rows else None)
+    table = kept(placed(counted(scan)))
+    known = table.agg(F.count("*"), F.sum("odd"), F.min("file")).first()
+    return Blocks(table, known[0], bool(known[1]), known[2])
+
+
 def assemble(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """Lines (file, blk, pos, value, inside, opened) of whole blocks to records and pieces.
 
@@ -152,20 +227,24 @@ def assemble(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row(open_, open_["part"] if open_["part"] is not None else now[1]), types)], names)
 
 
-def records(spark: SparkSession, path: str, limit: int, single: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """file, blk, pos, rec (binary, null if over limit), size of every record; the block table; the scan."""
-    scan = lines(spark, path, single)
-    table = kept(blocks(scan))
-    known = table.agg(F.count("*"), F.sum("odd")).first()
-    if not known[1]:
+def records(spark: SparkSession, path: str, limit: int, tasks: int | None = None) -> tuple[DataFrame, Blocks, DataFrame]:
+    """file, blk, pos, rec (binary, null if over limit), size of every record; the blocks; the scan.
+
+    Above MAX_BROADCAST_BLOCKS blocks (32 TB in splits of 128 MB) of files with quoted newlines the block
+    table no longer goes to every task: lines are shuffled to their blocks and sorted there instead.
+    """
+    scan = lines(spark, path, tasks)
+    known = blocks(scan)
+    if not known.quoted:
         whole = scan.select("file", "blk", "pos", F.when(F.octet_length("value") <= limit, F.col("value")).alias("rec"), F.octet_length("value").cast("long").alias("size"))
-        return whole, table, scan
-    small = table.select("file", "blk", "inside", "opened")
-    small = F.broadcast(small) if known[0] <= MAX_BROADCAST_BLOCKS else small
-    placed = scan.join(small, ["file", "blk"]).select("file", "blk", "pos", "value", "inside", "opened")
-    found = placed.mapInArrow(lambda b: assemble(b, limit), "file string, blk long, pos long, rec binary, size long, part long")
+        return whole, known, scan
+    names = ["file", "blk", "pos", "value", "inside", "opened"]
+    laid = scan.join(known.small(known.table.select("file", "blk", "inside", "opened")), ["file", "blk"]).select(*names)
+    if known.number > MAX_BROADCAST_BLOCKS:
+        laid = laid.repartition("file", "blk").sortWithinPartitions("file", "blk", "pos")
+    found = laid.mapInArrow(lambda b: assemble(b, limit), "file string, blk long, pos long, rec binary, size long, part long")
     pieces = found.where("part is not null").groupBy("file", "part").agg(F.sort_array(F.collect_list(F.struct("blk", "pos", "rec"))).alias("x"), (F.sum("size") + F.count("*") - 1).alias("size"))
     # a piece over the limit has no bytes, and then its record is over it too
     text = F.array_join(F.transform("x", lambda p: p["rec"].cast("string")), "\n").cast("binary")
     stitched = pieces.select("file", F.col("part").alias("blk"), F.col("x")[0]["pos"].alias("pos"), F.when(F.col("size") <= limit, text).alias("rec"), "size")
-    return found.where("part is null").select("file", "blk", "pos", "rec", "size").unionByName(stitched), table, scan
+    return found.where("part is null").select("file", "blk", "pos", "rec", "size").unionByName(stitched), known, scan

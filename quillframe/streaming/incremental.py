@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quillframe.options import ReadOptions, Schema
@@ -15,19 +14,16 @@ from quillframe.sources.reader import read_csv
 def stream_csv(spark: SparkSession, folder: str, schema: Schema, sink: Callable[[DataFrame, int], None], checkpoint: str, options: ReadOptions | None = None, files_per_batch: int = 64) -> StreamingQuery:
     """Strictly read new files as they come (once, then stop) and hand each batch's rows to the sink.
 
-    Records never span files, so a batch is a set of whole files; the file source's log in
-    `checkpoint` makes sure that each file is read once.
+    Records never span files, so a batch is a set of whole files, read in one scan; the files of a batch
+    have one header. The file source's log in `checkpoint` makes sure that each file is read once.
+    Rows have the column file beside the requested ones.
     """
     source = spark.readStream.format("binaryFile").option("maxFilesPerTrigger", files_per_batch)
     names = source.schema("path string, modificationTime timestamp, length long, content binary").load(folder).select("path")
 
     def read(batch: DataFrame, number: int) -> None:
-        paths = [r["path"] for r in batch.distinct().orderBy("path").collect()]
-        parts = [read_csv(spark, p, schema, options).withColumn("file", F.lit(p)) for p in paths]
-        if parts:
-            whole = parts[0]
-            for part in parts[1:]:
-                whole = whole.unionByName(part)
-            sink(whole, number)
+        paths = [r["path"] for r in batch.distinct().orderBy("path").collect()]  # files_per_batch at most
+        if paths:
+            sink(read_csv(spark, paths, schema, options, keep_order=True).withColumnRenamed("_file", "file").drop("_blk", "_pos"), number)
 
     return names.writeStream.foreachBatch(read).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
