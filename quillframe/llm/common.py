@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -14,17 +13,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillframe.packaging import ship
+from quillframe.sources.records import remove, shared_folder
+
 WORD = r"[^\x20\x09-\x0D]+"
 U64 = np.uint64
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none (tests)."""
-    sc = spark.sparkContext
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(path or tempfile.mkdtemp(prefix="quillframe-"))
-    return path or sc.getCheckpointDir()
+    """The cluster's shared folder; a temporary one only on a local master (tests)."""
+    return shared_folder(spark)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -34,7 +32,12 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Have Arrow batches of whole texts hold few rows, so that a worker holds a few MB of them at a time."""
+    """Have Arrow batches of whole texts hold few rows, so that a worker holds a few MB of them at a time.
+
+    The setting is read when a lazy result runs, so it stays in the session; one that is smaller already is left alone.
+    The package goes to the executors, too.
+    """
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
@@ -43,6 +46,7 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write df as a compressed table in the shared folder; returns it reread, and its path."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{checkpoint_dir(spark)}/quillframe/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     free(spark)
@@ -59,8 +63,7 @@ def free(spark: SparkSession) -> None:
 def release(spark: SparkSession, path: str) -> None:
     """Delete a table of stored() that no later plan reads; at exit, whatever is left."""
     try:
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        remove(spark, path)
     except Exception:  # noqa: BLE001  the JVM may be gone at exit
         pass
 

@@ -5,23 +5,30 @@ block and a group is one task (a stated query set against all rows, in blocks).
 dimension is a list of the block's rows sorted by their contribution to the query's score. The
 lists are read in parallel, from their good ends, in doubling steps. A row's lower bound adds
 the worst values of its unread lists, its upper bound their current values; rows whose upper
-bound falls below the k-th lower bound are out, and reading stops when all rows still in can be
-resolved or the lists end. Their final scores are integer sums. The k best of each block are
-merged by a grouped limit, so a query gathers k rows for each block at most.
-
-Contributions are float64 (exact below 2^53), bounds allow for the rounding of their sums;
-final scores are int64.
-
-Defined cases: vectors that are null, empty or hold null or non-finite components take no part;
-a zero vector takes part. Only vectors of the query's length are its candidates. Rows that
-repeat an id count once (with the least vector). Ties go to the smaller id; a query with fewer
-candidates gets them all. Only the id and vector columns are read.
+bound falls below the k-th lower bound are out. Reading stops when no more than k rows are in, or
+when the lists end, at which the bounds of every row meet. Rows that bounds cannot separate, by
+ties or rounding, are told apart by their final scores, which are integer sums of the rows still
+in. The k best of each block are merged by a grouped limit, so a query gathers k rows for each
+block at most.
+
+How much of the lists is read depends on the data: little where a few dimensions decide, nearly
+all of it where vectors are near-uniform in many dimensions (`entries` counts it).
+
+Contributions are float64, bounds allow for the rounding of their sums; final scores are int64.
+
+Defined cases: vectors that are null, empty or hold null or non-finite components take no part,
+nor do those whose floor(scale * x) add up, by size, to 2^31 or more, since scores of such
+vectors may leave 64 bits; a zero vector takes part. Only vectors of the query's length are its
+candidates. Rows that repeat an id count once (with the least vector). Ties go to the smaller
+id; a query with fewer candidates gets them all. An empty table gives an empty result. Only the
+id and vector columns are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.accumulators import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,15 +36,15 @@ from pyspark.sql.window import Window
 from quillframe.llm.common import stored
 from quillframe.llm.vectors import usable
 
-FIRST = 512  # entries read of each list in the first step
-RESOLVE = 512  # rows still in at which final scores are computed
+FIRST = 64  # entries read of each list in the first step
+LARGEST = 1 << 31  # of the sum of a vector's components, by size
 
 
 class Lists:
     """A block's rows and, for each dimension, its list: the rows and their values in ascending order."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
-        self.ids, self.values = ids, values
+        self.ids, self.values, self.read = ids, values, 0  # list entries read so far
         self.rows = np.ascontiguousarray(np.argsort(values, axis=0, kind="stable").T)
         self.sorted = np.take_along_axis(values.T, self.rows, axis=1).astype(np.float64)
 
@@ -51,7 +58,7 @@ class Lists:
         worst = np.array([w * self.sorted[d, 0 if w > 0 else -1] for d, w in zip(dims, weight)])
         known, read = np.zeros(n), np.zeros((len(dims), n), np.float32)
         at, step = 0, FIRST
-        while at < n and dims and inside.sum() > max(RESOLVE, k):
+        while at < n and dims and inside.sum() > k:
             end = min(n, at + step)
             rows, adds, now = [], [], np.empty(len(dims))
             for i, (d, w) in enumerate(zip(dims, weight.tolist())):
@@ -61,6 +68,7 @@ class Lists:
                 adds.append(w * self.sorted[d, part])
                 read[i, some] = 1
                 now[i] = adds[-1][0 if w > 0 else -1]
+            self.read += len(dims) * (end - at)
             known += np.bincount(np.concatenate(rows), np.concatenate(adds), n)
             lower = known + worst.sum() - worst.astype(np.float32) @ read
             upper = known + now.sum() - now.astype(np.float32) @ read
@@ -74,15 +82,18 @@ class Lists:
         return self.ids[rest[best]], scores[best]
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 8192, group: int = 1024, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, block: int = 8192, group: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding", entries: Accumulator | None = None) -> DataFrame:
     """query_id, rank, id, score of the k rows with the highest integer inner product with each query.
 
     Components become floor(scale * x). queries: same columns as rows; a query's own id is no candidate.
+    entries: an accumulator, if given, that gets the number of list entries read.
     """
 
     def whole(df: DataFrame) -> DataFrame:
         found = usable(df, id_col, vector_col, allow_zero=True)
-        return found.select("id", F.transform("v", lambda x: F.floor(x * scale).cast("long")).alias("v"))
+        size = F.aggregate("v", F.lit(0.0), lambda total, x: total + F.abs(F.floor(x * scale).cast("double")))
+        whole_ = F.transform("v", lambda x: F.floor(x * scale).cast("long"))
+        return found.where(size < LARGEST).select("id", whole_.alias("v"))
 
     base, _ = stored(whole(rows), "vectors")
     asked, _ = stored(whole(queries), "queries")
@@ -101,6 +112,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, b
                 if len(v) == size:
                     ids, scores = lists.top(np.asarray(v, np.int64), own, k)
                     out += [(own, i, s) for i, s in zip(ids.tolist(), scores.tolist())]
+            if entries is not None:
+                entries.add(lists.read)
         return pd.DataFrame(out, columns=["query_id", "id", "score"]).astype("int64")
 
     found = dealt.groupBy("b", "g").cogroup(posed.groupBy("b", "g")).applyInPandas(search, "query_id long, id long, score long")
