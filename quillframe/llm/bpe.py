@@ -2,11 +2,12 @@
 
 A word's symbols form a doubly linked list; a priority queue holds its adjacent pairs by merge
 rank, then position. Popping an entry merges the pair, unless the entry is stale (one of its
-symbols has been merged meanwhile), and queues the two new pairs. Decoding concatenates the
-vocabulary strings, as the file's decoder joins them.
+symbols has been merged meanwhile), and queues the two new pairs. Decoding takes the ids and
+concatenates their vocabulary strings, as the file's decoder joins them.
 
-Each document is an independent narrow task: words repeat, so each worker keeps a bounded cache
-from word to ids, and only words outside it go through the queue. The vocabulary file is read
+Each document is an independent narrow task: words repeat, so each worker keeps bounded caches
+from word to ids and from a word's ids to its strings, and only words outside them go through the
+queue. A file that normalises, splits or decodes otherwise than this module raises ValueError. The vocabulary file is read
 on the driver and broadcast (a few MB, whatever the input).
 
 Defined cases: a null text counts as empty and has no ids; the special strings of the file are
@@ -22,7 +23,8 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 import regex
@@ -43,7 +45,13 @@ LATIN_WORDS = re.compile(rf"{SHORT}|[{LATIN}]+|[{NUMERALS}]|[^{BLANK}{LATIN}{NUM
 BEYOND_LATIN = re.compile(r"[^\x00-\u024f\u2010-\u2027\u2030-\u205e]")
 # Blocks in which this Python's Unicode tables agree with the library's older ones (a test asks about every code point).
 BEYOND_KNOWN = re.compile(r"[^\x00-\u052f\u0590-\u05ff\u0620-\u06ff\u0900-\u0aff\u2010-\u205e\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]")
-CACHE = 80_000  # words of a generation of a worker's cache
+CACHE, LONGEST = 80_000, 64  # words of a generation of a worker's cache; characters of a word that it keeps
+# Fixed value: what the files of this family say of normalising, splitting and decoding, which this module does by itself.
+KNOWN = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORDS.pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "decoder": None,
+}
 
 
 def byte_symbols() -> list[str]:
@@ -59,6 +67,11 @@ class MergeTable:
     def __init__(self, file: str):
         spec = json.loads(file)
         model = spec["model"]
+        others = [k for k, v in KNOWN.items() if spec.get(k) != v]
+        others += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges", "fuse_unk") if model.get(k)]
+        others += [t["content"] for t in spec["added_tokens"] if t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]]
+        if others or model["type"] != "BPE":
+            raise ValueError(f"a tokenizer file of another kind: {', '.join(others) or model['type']}")
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -109,9 +122,9 @@ class MergeTable:
                     push(queue, rank << 40 | h)
         return [x for x in ids if x >= 0]
 
-    def as_strings(self, ids: list[int]) -> tuple[int, str, str]:
-        strings = self.strings
-        return len(ids), " ".join(map(str, ids)), " ".join([strings[i] for i in ids])
+    def counted(self, word: bytes) -> tuple[int, str]:
+        ids = self.encode_word(word)
+        return len(ids), " ".join(map(str, ids))
 
 
 def lower(text: str) -> str:
@@ -127,18 +140,21 @@ def split_words(text: str) -> list[str]:
     return (LATIN_WORDS if not BEYOND_LATIN.search(text) else WORDS).findall(text)
 
 
-class Words(dict):
-    """Bounded cache by word of (number of tokens, ids, vocabulary strings), in two generations."""
+class Kept(dict):
+    """Bounded cache of what make() gives for a text, in two generations; long texts are not kept, so a worker holds some 20 MB."""
 
-    def __init__(self, table: MergeTable):
-        self.table, self.old = table, {}
+    def __init__(self, make: Callable[[str], Any]):
+        self.make, self.old = make, {}
 
-    def __missing__(self, word: str) -> tuple[int, str, str]:
-        out = self.old.get(word) or self.table.as_strings(self.table.encode_word(word.encode("utf-8", "replace")))
-        if len(self) >= CACHE:
-            self.old = dict(self)
-            self.clear()
-        self[word] = out
+    def __missing__(self, text: str) -> Any:
+        out = self.old.get(text)
+        if out is None:
+            out = self.make(text)
+        if len(text) <= LONGEST:
+            if len(self) >= CACHE:
+                self.old = dict(self)
+                self.clear()
+            self[text] = out
         return out
 
 
@@ -150,33 +166,35 @@ class WordEncoder:
         self.specials = re.compile("|".join(map(re.escape, self.table.added))) if self.table.added else None
         self.file, self.library = file, None  # loaded when a text of a rare script comes
         self.bytes = {s: b for b, s in enumerate(byte_symbols())}
-        self.cache = Words(self.table)
+        self.cache = Kept(lambda word: self.table.counted(word.encode("utf-8", "replace")))
+        self.strings = Kept(lambda ids: " ".join([self.table.strings[int(i)] for i in ids.split(" ") if int(i) in self.table.strings]))
 
-    def tokens(self, text: str) -> list[tuple[int, str, str]]:
-        """Of each word of a text without special strings."""
+    def tokens(self, text: str) -> list[tuple[int, str]]:
+        """Of each word of a text without special strings, the number of ids and the ids."""
         if not text.isascii() and BEYOND_KNOWN.search(text):  # rare scripts: the library's own tables split
             self.library = self.library or Tokenizer.from_str(self.file)
             words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-            return [self.table.as_strings(self.table.encode_word(bytes(self.bytes[c] for c in w))) for w, _ in words]
+            return [self.table.counted(bytes(self.bytes[c] for c in w)) for w, _ in words]
         cache = self.cache
         return [cache[word] for word in split_words(text)]
 
-    def encode(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, the ids joined by spaces, the decoded text."""
+    def encode(self, text: str) -> tuple[int, list[str]]:
+        """Number of ids, and the ids of each word, joined by spaces."""
         found, at = [], 0
         for special in self.specials.finditer(text) if self.specials else ():
             found += self.tokens(text[at : special.start()])
-            found.append((1, str(self.table.added[special[0]]), special[0]))
+            found.append((1, str(self.table.added[special[0]])))
             at = special.end()
         found += self.tokens(text[at:] if at else text)
         if not found:
-            return 0, "", ""
-        counts, ids, strings = zip(*found)
-        return sum(counts), " ".join(ids), " ".join(strings)
+            return 0, []
+        counts, ids = zip(*found)
+        return sum(counts), list(ids)
 
-    def decode(self, ids: list[int]) -> str:
-        """Vocabulary strings joined as a file without a decoder joins them; unknown ids are skipped."""
-        return " ".join(self.table.strings[i] for i in ids if i in self.table.strings)
+    def decode(self, ids: list[str]) -> str:
+        """Vocabulary strings of ids (in any groups), joined as a file without a decoder joins them; unknown ids are skipped."""
+        strings = self.strings
+        return " ".join(filter(None, [strings[i] for i in ids]))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -203,20 +221,20 @@ def encode_documents(docs: DataFrame, file: str, id_col: str = "doc_id", text_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(shared.value)
         make = {
-            "ids": lambda i, d: [int(x) for x in i.split()],
-            "decoded": lambda i, d: d,
-            "ids_sha256": lambda i, d: hashlib.sha256(i.encode()).hexdigest(),
-            "decoded_sha256": lambda i, d: hashlib.sha256(d.encode("utf-8", "surrogatepass")).hexdigest(),
+            "ids": lambda ids: [int(x) for x in " ".join(ids).split()],
+            "decoded": own.decode,
+            "ids_sha256": lambda ids: hashlib.sha256(" ".join(ids).encode()).hexdigest(),
+            "decoded_sha256": lambda ids: hashlib.sha256(own.decode(ids).encode("utf-8", "surrogatepass")).hexdigest(),
         }
         types = {"ids": pa.list_(pa.int32())}
         for batch in batches:
             for part in slices(batch, 1):
                 counts, columns = [], [[] for _ in outputs]
                 for text in part.column(1).to_pylist():
-                    n, ids, decoded = own.encode(text or "")
+                    n, ids = own.encode(text or "")
                     counts.append(n)
                     for column, name in zip(columns, outputs):
-                        column.append(make[name](ids, decoded))
+                        column.append(make[name](ids))
                 arrays = [pa.array(c, types.get(name, pa.string())) for c, name in zip(columns, outputs)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), *arrays], ["id", "n_tokens", *outputs])
 

@@ -1,18 +1,20 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Each source is cut into blocks by a hash of the id. A source's target fixes how many whole
-passes over its blocks the mix makes and how many further blocks it draws, plus one part of a
-block so that the words taken end within about one document of the target. These block quotas
-are split exactly among the output shards: a binary tree over the shards draws, at each node,
-the left half's share from a multivariate hypergeometric distribution. Every leaf then takes
-the next blocks of each source's permuted sequence, so draws are disjoint, and its rows are
-shuffled locally.
-
-The whole plan is a function of (source, hash of the id): one row of arrays for each source.
-Documents meet it by a broadcast (checked: at most MAX_BROADCAST sources, else a plain join),
-so a hot source needs no shuffle of its documents. The driver holds at most `blocks` numbers
-for each source and fewer blocks where sources are many. The exact end of the part block is
-found in two steps of hash ranges, so that no task orders more than a 2^-16 share of a source.
+Each source is cut into blocks by a hash of the id, all blocks being of about one size whatever
+their source. A source's target fixes how many whole passes over its blocks the mix makes and how
+many further blocks it draws, plus one part of a block so that the words taken end within about
+one document of the target. These block quotas are split exactly among the output shards: a binary
+tree over the shards draws, at each node, the left half's share from a multivariate hypergeometric
+distribution. Every leaf then takes the next blocks of each source's permuted sequence, so draws
+are disjoint, and its rows are shuffled locally. What the mix takes of a document is the list of
+shards that have drawn its block.
+
+The number of shards follows the data: SHARD_BYTES of text each, LEAST_SHARDS at least, and
+MAX_BLOCKS / PER_SHARD at most (beyond 2 TB shards grow instead). The plan is one row for each
+block, MAX_BLOCKS + MAX_SOURCES at most (some 30 MB), and meets the documents by a broadcast, so a
+hot source needs no shuffle of its documents; the driver gathers no more rows than that in any
+step. The exact end of the part block is found in two steps of hash ranges, so that no task orders
+more than a small share of a block. More than MAX_SOURCES different sources raise ValueError.
 
 Defined cases: a null text has size 0 and takes 0 words; null sources are one source, which
 comes last; rows that repeat (same id and source) get the same decision each; an empty table
@@ -27,23 +29,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quillframe.llm.common import stored, word_count
+from quillframe.llm.common import release, stored, word_count
 
-MAX_BROADCAST = 4096  # sources; about 1 KB each
-SUB = 1024  # hash ranges of a part block
-MAX_BLOCK_ROWS = 1 << 18  # block sums on the driver
+SHARD_BYTES, LEAST_SHARDS, PER_SHARD = 64 << 20, 16, 8  # of text in a shard; shards; blocks of a shard
+MAX_BLOCKS, MAX_SOURCES = 1 << 18, 1 << 14
 
 PLAN = T.StructType(
     [
         T.StructField("source", T.StringType()),
+        T.StructField("block", T.IntegerType()),
         T.StructField("source_size", T.LongType()),
         T.StructField("target", T.DoubleType()),
-        T.StructField("shards", T.ArrayType(T.ArrayType(T.IntegerType()))),  # of each block's whole draws
-        T.StructField("part_block", T.IntegerType()),
-        T.StructField("part_end", T.LongType()),  # last order key that the part takes
+        T.StructField("shards", T.ArrayType(T.IntegerType())),  # of the block's whole draws
+        T.StructField("part_end", T.LongType()),  # last order key that the part takes, if this is the part block
         T.StructField("part_shard", T.IntegerType()),
     ]
 )
+BLOCKS = T.StructType([T.StructField("s", T.StringType()), T.StructField("blocks", T.IntegerType())])
 
 
 def targets(sizes: list[int], weights: tuple[float, ...], share: float, cap: float) -> list[float]:
@@ -80,8 +82,8 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def block_of(key: Column, blocks: int, seed: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(blocks)).cast("int")
+def block_of(key: Column, blocks: Column, seed: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(seed)), blocks).cast("int")
 
 
 def order_of(key: Column, seed: int) -> Column:
@@ -89,62 +91,72 @@ def order_of(key: Column, seed: int) -> Column:
     return F.shiftrightunsigned(F.xxhash64(key, F.lit(seed + 1)), 2)
 
 
-def plan_mix(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int = 16, blocks: int = 64, seed: int = 20) -> tuple[list[tuple], int]:
-    """sized: id, source, size. Returns rows of PLAN and the number of blocks of a source."""
-    found = sized.groupBy("source").agg(F.sum("size").alias("n")).collect()
+def with_blocks(rows: DataFrame, key: str, source: str, counts: dict, seed: int) -> DataFrame:
+    """rows with __block; counts: blocks of each source."""
+    table = rows.sparkSession.createDataFrame(list(counts.items()), BLOCKS).select(F.col("s").alias("__s"), F.col("blocks").alias("__blocks"))
+    joined = rows.join(F.broadcast(table), rows[source].eqNullSafe(table["__s"]))  # MAX_SOURCES rows at most
+    return joined.select(*rows.columns, block_of(F.col(key), F.col("__blocks"), seed).alias("__block"))
+
+
+def plan_mix(sized: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, shards: int | None = None, seed: int = 20) -> tuple[list[tuple], dict, int]:
+    """sized: id, source, size, bytes. Returns rows of PLAN, the number of blocks of each source, and the number of shards."""
+    found = sized.groupBy("source").agg(F.sum("size").alias("n"), F.sum("bytes").alias("bytes")).limit(MAX_SOURCES + 1).collect()
+    if len(found) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r["source"] is None, r["source"] or ""))  # code points, null last
     sources, sizes = [r["source"] for r in found], [int(r["n"]) for r in found]
     aims = targets(sizes, weights, share, cap)
-    blocks = max(1, min(blocks, MAX_BLOCK_ROWS // max(1, len(sources))))
-    at = {s: i for i, s in enumerate(sources)}
+    if shards is None:
+        shards = max(LEAST_SHARDS, -(-int(share * sum(r["bytes"] for r in found)) // SHARD_BYTES))
+    shards = min(shards, MAX_BLOCKS // PER_SHARD)
+    counts = {s: max(1, -(-n * PER_SHARD * shards // max(1, sum(sizes)))) for s, n in zip(sources, sizes)}
 
-    keyed = sized.select("source", "size", block_of(F.col("id"), blocks, seed).alias("block"), order_of(F.col("id"), seed).alias("o"))
-    words = np.zeros((len(sources), blocks), np.int64)
+    keyed = with_blocks(sized, "id", "source", counts, seed).select("source", "size", F.col("__block").alias("block"), order_of(F.col("id"), seed).alias("o"))
+    words = {s: np.zeros(counts[s], np.int64) for s in sources}
     for r in keyed.groupBy("source", "block").agg(F.sum("size").alias("n")).collect():
-        words[at[r["source"]], r["block"]] = r["n"]
+        words[r["source"]][r["block"]] = r["n"]
 
     passes, extra, part, rest, orders = [], [], [], [], []
-    for i, n in enumerate(sizes):
-        order = np.random.default_rng([seed, 7, i]).permutation(blocks)
+    for i, (s, n) in enumerate(zip(sources, sizes)):
+        order = np.random.default_rng([seed, 7, i]).permutation(counts[s])
         whole = int(aims[i] // n) if n else 0
         left = aims[i] - whole * n
-        upto = np.cumsum(words[i, order])
+        upto = np.cumsum(words[s][order])
         k = int(np.searchsorted(upto, left, side="right")) if n else 0
         rest.append(left - (upto[k - 1] if k else 0))
         # blocks without words may come last: then nothing is left to take from a part
-        part.append(int(order[k]) if n and k < blocks and rest[-1] > 0 else -1)
+        part.append(int(order[k]) if n and k < len(order) and rest[-1] > 0 else -1)
         passes.append(whole)
         extra.append(k if n and left > 0 else 0)
         orders.append(order)
 
     ends = part_ends(sized.sparkSession, keyed, sources, part, rest)
-    quotas = np.array([passes[i] * blocks + extra[i] + (ends[i] is not None) for i in range(len(sources))], np.int64)
+    quotas = np.array([passes[i] * counts[s] + extra[i] + (ends[i] is not None) for i, s in enumerate(sources)], np.int64)
     by_shard = split_quotas(quotas, shards, seed) if len(sources) else np.zeros((shards, 0), np.int64)
     rows = []
     for i, source in enumerate(sources):
-        draws = [b for _ in range(passes[i]) for b in orders[i]] + list(orders[i][: extra[i]]) + ([-1] if ends[i] is not None else [])
-        drawn: list[list[int]] = [[] for _ in range(blocks)]
+        draws = [b for _ in range(passes[i]) for b in orders[i].tolist()] + orders[i][: extra[i]].tolist() + ([-1] if ends[i] is not None else [])
+        drawn: list[list[int]] = [[] for _ in range(counts[source])]
         part_shard = -1
         for b, shard in zip(draws, np.repeat(np.arange(shards), by_shard[:, i]).tolist()):
             if b < 0:
                 part_shard = shard
             else:
-                drawn[int(b)].append(shard)
-        rows.append((source, sizes[i], float(aims[i]), drawn, part[i] if ends[i] is not None else -1, ends[i] or 0, part_shard))
-    return rows, blocks
+                drawn[b].append(shard)
+        for b, taken in enumerate(drawn):
+            partly = ends[i] is not None and b == part[i]
+            rows.append((source, b, sizes[i], float(aims[i]), taken, ends[i] if partly else -1, part_shard if partly else -1))
+    return rows, counts, shards
 
 
 def part_ends(spark: SparkSession, keyed: DataFrame, sources: list, part: list[int], rest: list[float]) -> list[int | None]:
     """For each source, the last order key of its part block whose documents come nearest to the rest of its target."""
-    width = (1 << 62) // SUB
+    ranges = max(1, min(1024, MAX_BLOCKS // max(1, len(sources))))  # of a part block
+    width = (1 << 62) // ranges
     need = [(s, p, float(r)) for s, p, r in zip(sources, part, rest) if p >= 0]
     ends: dict = {}
     if need:
-        def narrowed(rows: list[tuple], names: str) -> DataFrame:
-            table = spark.createDataFrame(rows, names)
-            return F.broadcast(table) if len(rows) <= MAX_BROADCAST else table
-
-        want = narrowed([(s, p) for s, p, _ in need], "s string, p int")
+        want = F.broadcast(spark.createDataFrame([(s, p) for s, p, _ in need], "s string, p int"))
         inside = keyed.join(want, keyed["source"].eqNullSafe(want["s"]) & (keyed["block"] == want["p"])).select("source", "size", "o", F.floor(F.col("o") / width).cast("int").alias("sub"))
         sums: dict = {}
         for r in inside.groupBy("source", "sub").agg(F.sum("size").alias("n")).collect():
@@ -156,9 +168,9 @@ def part_ends(spark: SparkSession, keyed: DataFrame, sources: list, part: list[i
                     last.append((s, sub, r))
                     break
                 r -= n
-        finest = narrowed(last, "s string, p int, r double") if last else None
         ends = {s: None for s, _, _ in need}
-        if finest is not None:
+        if last:
+            finest = F.broadcast(spark.createDataFrame(last, "s string, p int, r double"))
             docs = inside.join(finest, inside["source"].eqNullSafe(finest["s"]) & (inside["sub"] == finest["p"]))
             upto = F.sum("size").over(Window.partitionBy("source", "sub").orderBy("o").rangeBetween(Window.unboundedPreceding, 0))
             near = docs.select("source", "sub", "o", "r", "size", upto.alias("upto")).where(F.col("upto") - F.col("size") / 2 <= F.col("r"))
@@ -167,36 +179,40 @@ def part_ends(spark: SparkSession, keyed: DataFrame, sources: list, part: list[i
     return [ends.get(s) if p >= 0 else None for s, p in zip(sources, part)]
 
 
-def decided(rows: DataFrame, key: str, source: str, plan: list[tuple], blocks: int, seed: int = 20) -> DataFrame:
+def decided(rows: DataFrame, key: str, source: str, plan: list[tuple], counts: dict, seed: int = 20) -> DataFrame:
     """rows with __source_size, __target and __shards: one shard for each time the mix takes the row."""
-    table = rows.sparkSession.createDataFrame(plan, PLAN).select(*(F.col(f).alias(f"__{f}") for f in PLAN.names))
-    table = F.broadcast(table) if len(plan) <= MAX_BROADCAST else table
-    block = block_of(F.col(key), blocks, seed)
-    partly = (block == F.col("__part_block")) & (order_of(F.col(key), seed) <= F.col("__part_end"))
-    whole = F.element_at("__shards", block + 1)
-    joined = rows.join(table, rows[source].eqNullSafe(table["__source"]))
-    return joined.select(*rows.columns, "__source_size", "__target", F.when(partly, F.concat(whole, F.array("__part_shard"))).otherwise(whole).alias("__shards"))
+    table = rows.sparkSession.createDataFrame(plan, PLAN).select(*(F.col(f).alias(f"__p_{f}") for f in PLAN.names))
+    placed = with_blocks(rows, key, source, counts, seed)
+    # a row for each block, MAX_BLOCKS + MAX_SOURCES at most
+    joined = placed.join(F.broadcast(table), placed[source].eqNullSafe(table["__p_source"]) & (placed["__block"] == table["__p_block"]))
+    partly = order_of(F.col(key), seed) <= F.col("__p_part_end")
+    shards = F.when(partly, F.concat("__p_shards", F.array("__p_part_shard"))).otherwise(F.col("__p_shards"))
+    return joined.select(*rows.columns, F.col("__p_source_size").alias("__source_size"), F.col("__p_target").alias("__target"), shards.alias("__shards"))
 
 
 def sized_table(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
+    size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)).cast("long")
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), size.alias("bytes"))
 
 
 def mix_plan_of_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20, **options) -> DataFrame:
-    """id, source, size, source_size, target, taken: what the mix takes of each document."""
+    """id, source, size, source_size, target, taken, shards: what the mix takes of each document, and the shards it goes to (joined by commas)."""
     sized, _ = stored(sized_table(docs, id_col, text_col, source_col), "sizes")
-    plan, blocks = plan_mix(sized, seed=seed, **options)
-    out = decided(sized, "id", "source", plan, blocks, seed)
-    return out.select(F.col("id").alias(id_col), "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.size("__shards")).alias("taken"))
+    plan, counts, _ = plan_mix(sized, seed=seed, **options)
+    out = decided(sized, "id", "source", plan, counts, seed)
+    shards = F.array_join(F.array_sort("__shards").cast("array<string>"), ",")
+    return out.select(F.col("id").alias(id_col), "source", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("size") * F.size("__shards")).alias("taken"), shards.alias("shards"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20, shards: int = 16, **options) -> DataFrame:
-    """The mix itself: the rows of docs, each as often as it is taken, dealt to shards and shuffled inside them.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 20, **options) -> DataFrame:
+    """The mix itself: the rows of docs, each as often as it is taken, one partition for each shard, shuffled inside it.
 
     Documents without words take no part in a mix of words; they are left out.
     """
-    plan, blocks = plan_mix(stored(sized_table(docs, id_col, text_col, source_col), "sizes")[0], seed=seed, shards=shards, **options)
-    taken = decided(docs, id_col, source_col, plan, blocks, seed).where(word_count(F.col(text_col)) > 0)
+    sized, at = stored(sized_table(docs, id_col, text_col, source_col), "sizes")
+    plan, counts, shards = plan_mix(sized, seed=seed, **options)
+    release(docs.sparkSession, at)
+    taken = decided(docs, id_col, source_col, plan, counts, seed).where(word_count(F.col(text_col)) > 0)
     rows = taken.select(*docs.columns, F.posexplode("__shards").alias("__copy", "__shard"))
     local = F.xxhash64(F.col(id_col), F.col("__copy"), F.lit(seed + 2))
-    return rows.repartition(shards, "__shard").sortWithinPartitions("__shard", local).select(*docs.columns)
+    return rows.repartitionById(shards, "__shard").sortWithinPartitions(local).select(*docs.columns)

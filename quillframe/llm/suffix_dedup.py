@@ -18,7 +18,14 @@ Blockwise suffix comparison over a cover sample, with bounded memory:
    documents) are dealt out by the strings' hashes instead, so no task holds such a bucket.
 
 All strings holding one sample overlap in it, so each occurrence yields one stretch of bytes;
-a document's stretches are merged next to its text. Names are 64-bit hashes, used in pairs.
+a document's stretches are merged next to its text.
+
+What this is not: no suffix array is ever in order. Positions are sampled by content, buckets and
+ranks are hashes, and equal hashes are taken for equal bytes without a look at these. Names that
+decide a long tie are pairs of 64-bit hashes: over 100 TB (10^12 samples) two different
+surroundings share a pair with probability 10^-15. Inside a bucket of m surroundings strings
+compare by one 64-bit key for each of 169 distances: 169 * m^2 / 2^65, which is 2 * 10^-9 for the
+largest bucket that a task holds (20,000).
 
 Defined cases: a null text counts as empty; texts shorter than `length` lose nothing; matches
 never cross documents, but may overlap in one. Rows that repeat are occurrences of their own.
@@ -261,14 +268,16 @@ def stretches(docs: DataFrame, length: int = 200, hot: int = 20_000) -> DataFram
     """docs: id, h, text. All (id, h, start, end) that repeated strings cover, not merged."""
     spark = docs.sparkSession
     samples, samples_at = stored(anchors(docs.where(F.octet_length("text") >= length), length), "samples")
-    often = samples.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k")
+    # counts are written before they are joined, so that Spark can split a join's hot key (say, of a line in a third of all documents)
+    often, often_at = stored(samples.groupBy("k").agg(F.count("*").alias("m")).where("m > 1").select("k"), "often")
     shared, shared_at = stored(samples.join(often, "k"), "shared")
     release(spark, samples_at)
+    release(spark, often_at)
     named = shared.groupBy("k", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "h", "pos", "l", "r")).alias("at"))
     named, named_at = stored(named.select("k", "c", "n", "at.*"), "named")
     ties = shared.join(named.where("n > 1").select("k", "c"), ["k", "c"]).where(F.col("l") + F.col("r") >= length)
     ties = ties.select("id", "h", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"))
-    mixed = named.groupBy("k").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("k", "m")
+    mixed, mixed_at = stored(named.groupBy("k").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("k", "m"), "mixed")
     around, around_at = stored(cut_surroundings(docs, named.join(mixed.select("k"), "k")), "surroundings")
     large = mixed.where(F.col("m") > hot).select("k")
     if large.isEmpty():
@@ -277,6 +286,7 @@ def stretches(docs: DataFrame, length: int = 200, hot: int = 20_000) -> DataFram
         rest = compared(around.join(large, "k", "left_anti"), length).union(compared_hot(around.join(large, "k"), length))
     rest, _ = stored(rest, "rest")
     release(spark, around_at)
+    release(spark, mixed_at)
     out, _ = stored(ties, "ties")
     for path in (shared_at, named_at):
         release(spark, path)

@@ -26,7 +26,9 @@ from tokenizers import Tokenizer
 
 from quillframe.llm.common import slices, small_batches
 
-CACHE = 500_000  # pre-tokens kept by a worker
+CACHE, LONGEST = 500_000, 64  # pre-tokens kept by a worker, and their characters: some 60 MB
+# Fixed value: the only pre-tokeniser whose pieces this module knows.
+KNOWN = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 # The byte-level pre-tokeniser's pattern, for texts of few scripts.
 SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 BLANK = r"\t-\r \x85\xa0"
@@ -44,6 +46,8 @@ class Lengths(dict):
 
     def __missing__(self, piece: str) -> int:
         n = len(self.library.encode(piece, add_special_tokens=False).ids)
+        if len(piece) > LONGEST:
+            return n
         if len(self) >= CACHE + len(self.frequent):
             self.clear()
             self.update(self.frequent)
@@ -53,24 +57,28 @@ class Lengths(dict):
 
 class Counts:
     def __init__(self, file: str, frequent: dict[str, int]):
+        spec = json.loads(file)
+        if spec.get("normalizer") or spec.get("pre_tokenizer") != KNOWN or spec["model"].get("dropout"):
+            raise ValueError("a tokenizer file of another kind")
         self.library = Tokenizer.from_str(file)
-        added = [t["content"] for t in json.loads(file)["added_tokens"]]
+        self.library.no_truncation()
+        self.library.no_padding()
+        added = [t["content"] for t in spec["added_tokens"]]
         self.specials = re.compile("|".join(map(re.escape, added))) if added else None
         self.lengths = Lengths(self.library, frequent)
 
-    def pieces(self, text: str) -> list[str] | None:
-        """Pre-tokens of a text without special strings; None if its scripts need the library."""
-        return PIECES.findall(text) if text.isascii() or not BEYOND_LATIN.search(text) else None
+    def pieces(self, text: str) -> list[str]:
+        """Pre-tokens of a text without special strings; texts of other scripts are split by the library."""
+        if text.isascii() or not BEYOND_LATIN.search(text):
+            return PIECES.findall(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def count(self, text: str) -> int:
         if self.specials and self.specials.search(text):
             parts = self.specials.split(text)
             return len(parts) - 1 + sum(self.count(p) for p in parts if p)
-        pieces = self.pieces(text)
-        if pieces is None:
-            return len(self.library.encode(text, add_special_tokens=False).ids)
         lengths = self.lengths
-        return sum([lengths[p] for p in pieces])
+        return sum([lengths[p] for p in self.pieces(text)])
 
 
 _counters: dict[str, Counts] = {}
@@ -96,7 +104,7 @@ def frequent_pieces(docs: DataFrame, file: str, text_col: str = "text", id_col:
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 for part in own.specials.split(text) if own.specials else [text]:
-                    seen.update(own.pieces(part) or ())
+                    seen.update(p for p in own.pieces(part) if len(p) <= LONGEST)
         most = seen.most_common(frequent)
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in most], pa.string()), pa.array([v for _, v in most], pa.int64())], ["piece", "n"])
 

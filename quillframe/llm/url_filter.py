@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillframe.llm.common import code_points, hashed_ngrams
+from quillframe.llm.common import code_points, hashed_ngrams, small_batches
 
 BITS = 16
 SPLIT = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
@@ -35,23 +35,39 @@ RULES = [
     ("block", "net/fr/"),
 ]
 
-# Parts of the small labelled URL table, crossed by labelled_urls().
-BAD_HOSTS = ["cheap-pills", "spam-farm", "casino-bonus", "free-money", "hot-singles", "replica-watches", "win-prizes", "adult-cams", "payday-loans", "crack-warez"]
-GOOD_HOSTS = ["library", "news", "weather", "garden", "physics", "recipes", "history", "travel", "museum", "forum", "thering", "university"]
-BAD_PATHS = ["/buy-now/", "/xxx/", "/casino?bonus=1", "/en/click.php", "/free/"]
-GOOD_PATHS = ["/en/125", "/fr/article/7", "/de/48.html", "/es/page/", "/about", "/"]
-ENDS = ["com", "org", "net"]
-
-
-def labelled_urls() -> list[tuple[str, int]]:
-    """The default training table: (url, 1 for block)."""
+# Own values: words from which labelled_urls() makes its small table.
+BAD = """casino poker bet betting slots jackpot roulette lottery pills pharma viagra cialis tablets weightloss xxx porn sex adult
+cams escort nude dating hookup loan loans payday credit-fix replica rolex fakebags warez crack keygen serial nulled torrent hack
+cheat prize winner giveaway freebie free-money earn-cash get-rich crypto-double miracle clickbank popunder adserver tracker spam
+seo-links backlinks proxylist malware phish verify-account""".split()
+GOOD = """library news daily times post herald university college school academy museum gallery archive garden nature science
+physics biology math history culture travel tourism hotel city town council gov health clinic hospital recipe kitchen food sport
+football chess music band film book reader author blog notes journal forum help support docs wiki dev code weather map rail bus
+energy water farm art design craft photo law bank insurance church charity club review shop store market""".split()
+BAD_PATHS = """/buy-{b}-online /{b}/ /go?url={n} /click.php?id={n} /cheap-{b}-no-prescription /free-{b}-download.exe /{b}-bonus
+/landing/{b}?aff={n} /win/{b}/now /r.php?u={n} /best-{b}-{n}.html /xxx/{n}""".split()
+GOOD_PATHS = """/ /about /contact /en/{g}/{n} /{g}/2021/05/{w}-{w} /article/{n} /wiki/{w} /de/{w}.html /fr/{w}/{n} /es/{g} /{g}/{w}
+/index.html /blog/{w}-{g} /docs/{w}#top /search?q={w} /images/{n}.jpg /products/{g}-{n} /{n} /p/{w}/edit""".split()
+ENDS = "com com com org net co.uk de fr es info io edu".split()
+
+
+def labelled_urls(n: int = 3000, seed: int = 3) -> list[tuple[str, int]]:
+    """The default training table: (url, 1 for block). A harmful URL shows by its host or by its path."""
+    rng = np.random.default_rng(seed)
+    pick = lambda values: values[int(rng.integers(len(values)))]
+    syllable = lambda: pick("bcdfghklmnprstvwz") + pick("aeiou") + pick(["", "n", "r", "l", "s"])
+    word = lambda: "".join(syllable() for _ in range(int(rng.integers(1, 4))))
     table = []
-    for hosts, paths, label in ((BAD_HOSTS, BAD_PATHS + GOOD_PATHS, 1), (GOOD_HOSTS, GOOD_PATHS, 0)):
-        for i, host in enumerate(hosts):
-            for j, path in enumerate(paths):
-                end, www = ENDS[(i + j) % 3], ("www.", "blog.", "")[j % 3]
-                table.append((f"https://{www}{host}.{end}{path}", label))
-                table.append((f"http://{www}{host}.example.{end}{path}", label))
+    for i in range(n):
+        bad = i % 2
+        where = i // 2 % 4 if bad else 3  # 0, 1: host; 2: path; 3: host and path
+        words = BAD if bad and where != 2 else GOOD
+        first, second = pick(words), pick([pick(words), word(), word(), ""])
+        host = f"{first}{pick(['', '', '-'])}{second}" if rng.random() < 0.5 else f"{second or word()}{pick(['', '-'])}{first}"
+        host = word() if not bad and rng.random() < 0.3 else host
+        host = pick(["www.", "www.", "", "", "m.", "blog.", "shop.", word() + "."]) + host + pick(["", "", "", str(rng.integers(100))])
+        path = pick(BAD_PATHS if bad and where > 1 else GOOD_PATHS).format(b=pick(BAD), g=pick(GOOD), w=word(), n=rng.integers(10_000))
+        table.append((f"{pick(['http', 'https'])}://{host}.{pick(ENDS)}{path}", bad))
     return table
 
 
@@ -133,6 +149,7 @@ def filter_urls(
     labelled: rows (url string, label int), of which the first max_labelled by URL are used;
     by default the built-in table.
     """
+    small_batches(pages.sparkSession, 10_000)
     table = rule_table(RULES if rules is None else rules)
     if labelled is None:
         known = labelled_urls()
