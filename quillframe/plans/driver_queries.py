@@ -215,7 +215,7 @@ def typed_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("too few fields", read(b"a,b\n1\n")),
         ("bad number", read(b"a\n1.0\n")),
         ("open quote", read(b'a,b\n1,"z\n')),
-        ("quote inside a field", read(b'a,b\n1,z"z\n')),
+        ("quote inside a field", read(b'a,b\n1,z"z"\n')),
         ("long record", read(b"a\n" + b"1" * 30 + b"\n", max_record_bytes=20)),
         ("no columns", read(b"a\n1\n", [])),
         ("other header", lambda: read_money(spark, put(spark, "errors.csv", b"id,user\n1,2\n")).rows),
@@ -258,10 +258,10 @@ def money_display(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lossy_money(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows whose cents a detour by doubles changes, cutting off and rounding."""
-    path, schema = _priced(spark, sf_dir, "lineitem", "l_extendedprice"), "l_orderkey:int, l_linenumber:int, l_extendedprice:cents"
-    each = [read_naive(spark, path, schema, money).select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias(money)) for money in ("truncate", "round")]
-    both = read_csv(spark, path, schema).join(each[0], ["l_orderkey", "l_linenumber"]).join(each[1], ["l_orderkey", "l_linenumber"])
-    differs = lambda c: F.sum((F.col(c) != F.col("l_extendedprice")).cast("long"))
+    path, schema = _priced(spark, sf_dir, "orders", "o_totalprice"), "o_orderkey:int, o_totalprice:cents"
+    each = [read_naive(spark, path, schema, money).withColumnRenamed("o_totalprice", money) for money in ("truncate", "round")]
+    both = read_csv(spark, path, schema).join(each[0], "o_orderkey").join(each[1], "o_orderkey")
+    differs = lambda c: F.sum((F.col(c) != F.col("o_totalprice")).cast("long"))
     return both.agg(F.count("*").alias("n"), differs("truncate").alias("cut_off"), differs("round").alias("rounded"))
 
 
@@ -318,8 +318,8 @@ ORACLE_SQL: dict[str, str] = {
     "generated_files": "select * from (values ('clean', cast(4000 as bigint), cast(0 as bigint), cast(7 as bigint)), ('messy', 4000, 0, 7), ('money', 4000, 0, 6)) as t(name, n, mismatches, categories)",
     "common_scan_money": f"select cast(l_orderkey * 10 + l_linenumber as bigint) as id, l_suppkey as user_id, {CENTS} as amount_cents, l_returnflag as category from lineitem",
     "money_display": "select l_orderkey, cast(l_linenumber as bigint) as l_linenumber, cast(cast(l_extendedprice as decimal(18,2)) as varchar) as amount from lineitem",
-    "lossy_money": f"""
-        with cents as (select cast(cast(l_extendedprice as decimal(18,2)) as double) * 100 as x, {CENTS} as exact from lineitem)
+    "lossy_money": """
+        with cents as (select cast(cast(o_totalprice as decimal(18,2)) as double) * 100 as x, cast(cast(o_totalprice as decimal(18,2)) * 100 as bigint) as exact from orders)
         select count(*) as n, cast(sum(case when cast(trunc(x) as bigint) <> exact then 1 else 0 end) as bigint) as cut_off,
                cast(sum(case when cast(round(x) as bigint) <> exact then 1 else 0 end) as bigint) as rounded from cents
     """,
