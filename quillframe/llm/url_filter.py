@@ -47,7 +47,8 @@ energy water farm art design craft photo law bank insurance church charity club
 BAD_PATHS = """/buy-{b}-online /{b}/ /go?url={n} /click.php?id={n} /cheap-{b}-no-prescription /free-{b}-download.exe /{b}-bonus
 /landing/{b}?aff={n} /win/{b}/now /r.php?u={n} /best-{b}-{n}.html /xxx/{n}""".split()
 GOOD_PATHS = """/ /about /contact /en/{g}/{n} /{g}/2021/05/{w}-{w} /article/{n} /wiki/{w} /de/{w}.html /fr/{w}/{n} /es/{g} /{g}/{w}
-/index.html /blog/{w}-{g} /docs/{w}#top /search?q={w} /images/{n}.jpg /products/{g}-{n} /{n} /p/{w}/edit""".split()
+/index.html /blog/{w}-{g} /docs/{w}#top /search?q={w} /images/{n}.jpg /products/{g}-{n} /{n} /p/{w}/edit /{w} /{g}s /{w}/
+/{w}/article/2020/{w} /{g}/{w}/{w}.html /{w}-{w}""".split()
 ENDS = "com com com org net co.uk de fr es info io edu".split()
 
 
@@ -120,7 +121,7 @@ def scores(weights: np.ndarray, bias: float, hosts: list[str], paths: list[str])
     return total / np.sqrt(np.maximum(np.bincount(owner, minlength=len(hosts)), 1)) + bias
 
 
-def fit(labelled: list[tuple[str, int]], rounds: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit(labelled: list[tuple[str, int]], rounds: int = 1000, rate: float = 5.0, decay: float = 1e-4) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression by full-batch gradient steps; classes weigh alike."""
     hosts, paths = map(list, zip(*(split_url(u) for u, _ in labelled)))
     y = np.array([label for _, label in labelled], float)
