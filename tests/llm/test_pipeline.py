@@ -64,6 +64,33 @@ def test_pipeline(spark, tmp_path):
     assert got == +want
 
 
+def test_one_row_of_each_group_stays_where_ids_repeat_or_are_null(spark):
+    words = [f"w{i}" for i in range(300)]
+    rng = random.Random(2)
+    a, b, c = (" ".join(rng.choice(words) for _ in range(60)) for _ in range(3))
+    rows = [(1, a, "x"), (1, b, "x"), (2, a, "x"), (2, a, "x"), (2, a, "y"), (None, b, "x"), (None, b, "x"), (None, c, "x"), (3, b + " w1", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    got = [r["text"][:40] for r in kept.collect()]
+    assert sorted(got) == sorted(t[:40] for t in (a, b, c))
+
+
+def test_stages_of_an_empty_table_and_of_clashing_names(spark, tmp_path):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, id string, score double, shards string, spans string, size int"
+    empty = spark.createDataFrame([], columns)
+    text = "some plain words that a reader may well read in one go"
+    rows = [(i, f"{text} {'abcdefgh'[i]}" * (i + 1), "en", None, i, None, "a", 0.5, "1", "b", 3) for i in range(8)]
+    full = spark.createDataFrame(rows, columns)
+    for name, stage in corpus_pipeline.STAGES:
+        for docs in (empty, full):
+            got = stage(spark, docs, str(tmp_path))
+            assert name == "encode" or got.columns == docs.columns
+            assert got.count() == 0 if docs is empty else got.count() >= 0
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_every_query_is_registered():
     found = __spark_entry__.queries()
     assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
