@@ -177,7 +177,7 @@ def met_at_neighbours(state: DataFrame, joined: int, spread: int) -> DataFrame:
     return met.unionByName(own).join(state.select(F.col("node").alias("u"), "v"), "u").select("center", F.col("u").alias("node"), "v", "new")
 
 
-def neighbour_graph(nodes: DataFrame, kind: str = "<f8", degree: int = 32, joined: int = 12, trees: int = 8, leaf: int = 1024, told: int = 8, settled: float = 0.02, spread: int = 256) -> tuple[DataFrame, str | None]:
+def neighbour_graph(nodes: DataFrame, kind: str = "<f8", degree: int = 32, joined: int = 16, trees: int = 12, leaf: int = 1024, told: int = 8, settled: float = 0.02, spread: int = 256) -> tuple[DataFrame, str | None]:
     """nodes: node, v (binary, numbers of `kind`). Returns a table node, v, near, dist, fresh, and its path."""
     spark = nodes.sparkSession
     empty = [F.array().cast(f"array<{t}>").alias(c) for c, t in (("near", "long"), ("dist", "double"), ("fresh", "boolean"))]
@@ -199,7 +199,7 @@ def neighbour_graph(nodes: DataFrame, kind: str = "<f8", degree: int = 32, joine
         meet, chunk, most = met_at_neighbours(state, joined, spread), 2 * spread, told
 
 
-def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kind: str = "<f8", beam: int = 128, expand: int = 32) -> DataFrame:
+def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kind: str = "<f8", beam: int = 256, expand: int = 32) -> DataFrame:
     """queries: q, v (binary), near (start nodes). Returns q, near, dist (nearest first, beam at most)."""
     spark = queries.sparkSession
     links = graph.select(F.col("node").alias("x"), F.col("near").alias("links"))
@@ -255,7 +255,7 @@ def greedy_search(queries: DataFrame, nodes: DataFrame, graph: DataFrame, kind:
     return state.select("q", "near", "dist")
 
 
-def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = 32, beam: int = 128, entries: int = 32, **options) -> DataFrame:
+def nearest(rows: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", degree: int = 32, beam: int = 256, entries: int = 32, **options) -> DataFrame:
     """query_id, rank, id, score: of each query the k nearest rows found, by Euclidean distance, ties to the smaller id.
 
     A query whose vector is a row's starts at that row's node; others start at `entries` nodes
