@@ -10,7 +10,7 @@ are disjoint, and its rows are shuffled locally. What the mix takes of a documen
 shards that have drawn its block.
 
 The number of shards follows the data: SHARD_BYTES of text each, LEAST_SHARDS at least, and
-MAX_BLOCKS / PER_SHARD at most (beyond 2 TB shards grow instead). The plan is one row for each
+MAX_BLOCKS / PER_SHARD at most (beyond 350 GB shards grow instead). The plan is one row for each
 block, MAX_BLOCKS + MAX_SOURCES at most (some 30 MB), and meets the documents by a broadcast, so a
 hot source needs no shuffle of its documents; the driver gathers no more rows than that in any
 step. The exact end of the part block is found in two steps of hash ranges, so that no task orders
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from quillframe.llm.common import release, stored, word_count
 
-SHARD_BYTES, LEAST_SHARDS, PER_SHARD = 64 << 20, 16, 8  # of text in a shard; shards; blocks of a shard
+SHARD_BYTES, LEAST_SHARDS, PER_SHARD = 16 << 20, 4, 8  # of text in a shard; shards; blocks of a shard
 MAX_BLOCKS, MAX_SOURCES = 1 << 18, 1 << 14
 
 PLAN = T.StructType(
