@@ -104,9 +104,10 @@ def quotes(value: Column) -> Column:
 
 
 def counted(scan: DataFrame) -> DataFrame:
-    """One row a block: its odd lines, bytes and first position. One pass over the input, combined before its shuffle."""
-    odd = quotes(F.col("value")) % 2
-    return scan.groupBy("file", "blk").agg(F.sum(odd).alias("odd"), F.sum(F.octet_length("value") + 1).alias("bytes"), F.min("pos").alias("first"))
+    """One row a block: its odd lines, bytes and positions. One pass over the input, combined before its shuffle."""
+    lines_ = scan.select("file", "blk", "pos", F.octet_length("value").alias("size"), (quotes(F.col("value")) % 2).alias("odd"))
+    at = F.when(F.col("odd") == 1, F.col("pos"))
+    return lines_.groupBy("file", "blk").agg(F.sum("odd").alias("odd"), F.sum(F.col("size") + 1).alias("bytes"), F.min("pos").alias("first"), F.min(at).alias("first_odd"), F.max(at).alias("last_odd"))
 
 
 def placed(each: DataFrame) -> DataFrame:
@@ -116,12 +117,12 @@ def placed(each: DataFrame) -> DataFrame:
     # a block opens the record that is open at its end if it starts outside one, or closes one and opens another
     opens = F.when(((F.col("inside") + F.col("odd")) % 2 == 1) & (F.col("odd") > 0), F.col("blk"))
     found = found.withColumn("opened", F.when(F.col("inside") == 1, F.last(opens, ignorenulls=True).over(before)))
-    return found.select("file", "blk", "odd", "inside", "opened", "offset", "first")
+    return found.select("file", "blk", "odd", "inside", "opened", "offset", "first", "first_odd", "last_odd")
 
 
 @dataclass(frozen=True)
 class Blocks:
-    """table: file, blk, odd, inside, opened, offset, first. quoted: whether a line of odd quotes was seen. file: the first one."""
+    """table: file, blk, odd, inside, opened, offset, first, first_odd, last_odd (positions). quoted: whether a line of odd quotes was seen. file: the first one."""
 
     table: DataFrame
     number: int
@@ -143,11 +144,11 @@ def blocks(scan: DataFrame) -> Blocks:
             for r in found:
                 if r["file"] != file:
                     file, inside, offset, opened = r["file"], 0, 0, None
-                rows.append((file, r["blk"], r["odd"], inside, opened if inside else None, offset, r["first"]))
+                rows.append((file, r["blk"], r["odd"], inside, opened if inside else None, offset, r["first"], r["first_odd"], r["last_odd"]))
                 after = (inside + r["odd"]) % 2
                 opened = r["blk"] if after and r["odd"] else opened
                 inside, offset = after, offset + r["bytes"]
-            table = spark.createDataFrame(rows, "file string, blk long, odd long, inside long, opened long, offset long, first long")
+            table = spark.createDataFrame(rows, "file string, blk long, odd long, inside long, opened long, offset long, first long, first_odd long, last_odd long")
             return Blocks(table, len(rows), any(r[2] for r in rows), rows[0][0] if rows else None)
     table = kept(placed(counted(scan)))
     known = table.agg(F.count("*"), F.sum("odd"), F.min("file")).first()
@@ -239,11 +240,18 @@ def records(spark: SparkSession, path: str, limit: int, tasks: int | None = None
         whole = scan.select("file", "blk", "pos", F.when(F.octet_length("value") <= limit, F.col("value")).alias("rec"), F.octet_length("value").cast("long").alias("size"))
         return whole, known, scan
     names = ["file", "blk", "pos", "value", "inside", "opened"]
-    laid = scan.join(known.small(known.table.select("file", "blk", "inside", "opened")), ["file", "blk"]).select(*names)
-    if known.number > MAX_BROADCAST_BLOCKS:
-        laid = laid.repartition("file", "blk").sortWithinPartitions("file", "blk", "pos")
-    found = laid.mapInArrow(lambda b: assemble(b, limit), "file string, blk long, pos long, rec binary, size long, part long")
-    pieces = found.where("part is not null").groupBy("file", "part").agg(F.sort_array(F.collect_list(F.struct("blk", "pos", "rec"))).alias("x"), (F.sum("size") + F.count("*") - 1).alias("size"))
+    laid = scan.join(known.small(known.table.drop("offset", "first")), ["file", "blk"])
+
+    def assembled(some: DataFrame) -> DataFrame:
+        if known.number > MAX_BROADCAST_BLOCKS:
+            some = some.repartition("file", "blk").sortWithinPartitions("file", "blk", "pos")
+        return some.select(*names).mapInArrow(lambda b: assemble(b, limit), "file string, blk long, pos long, rec binary, size long, part long")
+
+    # pieces are made from the lines at the ends of blocks: up to the quote that closes the record before, from the one that opens the last
+    head_ = (F.col("inside") == 1) & (F.col("first_odd").isNull() | (F.col("pos") <= F.col("first_odd")))
+    tail = ((F.col("inside") + F.col("odd")) % 2 == 1) & (F.col("pos") >= F.col("last_odd"))
+    found = assembled(laid)
+    pieces = assembled(laid.where(head_ | F.coalesce(tail, F.lit(False)))).where("part is not null").groupBy("file", "part").agg(F.sort_array(F.collect_list(F.struct("blk", "pos", "rec"))).alias("x"), (F.sum("size") + F.count("*") - 1).alias("size"))
     # a piece over the limit has no bytes, and then its record is over it too
     text = F.array_join(F.transform("x", lambda p: p["rec"].cast("string")), "\n").cast("binary")
     stitched = pieces.select("file", F.col("part").alias("blk"), F.col("x")[0]["pos"].alias("pos"), F.when(F.col("size") <= limit, text).alias("rec"), "size")

@@ -187,6 +187,30 @@ def test_plans_for_many_blocks_and_few_workers(spark, tmp_path, monkeypatch):
     assert read_csv(spark, plain, "a:int", ReadOptions(chunk_bytes=4096, workers=3, validate=False)).rdd.getNumPartitions() == 3
 
 
+def test_conversions_against_patterns(spark):
+    """Every short text over a few characters, against the patterns that define the kinds."""
+    import itertools
+    import re
+
+    from pyspark.sql import functions as F
+    from quillframe.functions.convert import strict_float, strict_int
+
+    cells = ["".join(c) for n in range(5) for c in itertools.product("07+-.eEx \t", repeat=n)]
+    cells += ["1d", "1f", "0x1p3", "0X1P3", "nan", "NaN", "-inf", "Infinity", "+INF", "1_0", "１", "9" * 18, "9223372036854775807", "9223372036854775808", "1e308", "1e309", "-1e309", "infinit", "1\x00", "\x001", "1\u00a0", "0" * 50, "1" + "0" * 400]
+    frame = spark.createDataFrame([(c,) for c in cells], "c string").select("c", strict_int(F.col("c")).alias("i"), strict_float(F.col("c")).alias("f"))
+    for cell, i, f in frame.collect():
+        whole = int(cell) if re.fullmatch(r"[+-]?[0-9]+", cell) else None
+        assert i == (whole if whole is not None and -(2**63) <= whole < 2**63 else None), repr(cell)
+        if re.fullmatch(r"[+-]?(?:[0-9]+[.]?[0-9]*|[.][0-9]+)(?:[eE][+-]?[0-9]+)?", cell):
+            assert f == (float(cell) if math.isfinite(float(cell)) else None), repr(cell)
+        elif cell.strip(" \t") == "" or cell.lower() == "nan":
+            assert math.isnan(f), repr(cell)
+        elif re.fullmatch("[+-]?inf(inity)?", cell.lower()):
+            assert f == float(cell), repr(cell)
+        else:
+            assert f is None, repr(cell)
+
+
 def test_a_shared_folder_must_be_named_on_a_cluster():
     from types import SimpleNamespace
 
