@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillframe.errors import Cancelled
@@ -30,11 +30,11 @@ def measured(make: Callable[[], DataFrame]) -> dict[str, float]:
     jvm.System.gc()
     for p in pools:
         p.resetPeakUsage()
+    seen = Observation()
     began = time.perf_counter()
-    rows = plan.select(F.count("*")).first()[0]
-    plan.write.format("noop").mode("overwrite").save()
+    plan.observe(seen, F.count(F.lit(1)).alias("rows")).write.format("noop").mode("overwrite").save()
     seconds = time.perf_counter() - began
-    return {"seconds": seconds, "rows": rows, "partitions": plan.rdd.getNumPartitions(), "heap_mb": sum(p.getPeakUsage().getUsed() for p in pools) / 1e6}
+    return {"seconds": seconds, "rows": seen.get["rows"], "partitions": plan.rdd.getNumPartitions(), "heap_mb": sum(p.getPeakUsage().getUsed() for p in pools) / 1e6}
 
 
 @contextmanager
