@@ -13,7 +13,7 @@ from quillframe.errors import CODES, BadHeader, EmptyInput, InvalidOptions, Miss
 from quillframe.functions.convert import CONVERT, TYPES, preview
 from quillframe.options import ReadOptions, Schema, positions, requested
 from quillframe.packaging import ship
-from quillframe.sources.records import BOM, Blocks, has_mark, head, quotes, records
+from quillframe.sources.records import BOM, Blocks, byte_setting, has_mark, head, quotes, records
 
 ORDER = ["_file", "_blk", "_pos"]
 # RFC 4180 fields, with possessive repeats so that long records don't exhaust the stack
@@ -38,9 +38,9 @@ def split_record(record: str) -> list[str]:
     return next(csv.reader(io.StringIO(record, newline="")), [])
 
 
-def _raw(spark: SparkSession, path: str, options: ReadOptions) -> tuple[DataFrame, Blocks, DataFrame]:
+def _raw(spark: SparkSession, path: str, options: ReadOptions, task_bytes: int | None) -> tuple[DataFrame, Blocks, DataFrame]:
     try:
-        found, known, scan = records(spark, path, options.max_record_bytes + 1, options.workers)
+        found, known, scan = records(spark, path, options.max_record_bytes + 1, options.workers, task_bytes)
     except AnalysisException as e:
         if "PATH_NOT_FOUND" in str(e):
             raise MissingFile(f"no file at {path}") from e
@@ -131,7 +131,8 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: Schema, options
     columns = requested(schema)
     own = _session(spark, options)
     ship(spark)
-    found, known, scan = _raw(own, path, options)
+    # the session's split size stays what a task reads
+    found, known, scan = _raw(own, path, options, byte_setting(spark, "spark.sql.files.maxPartitionBytes") if options.chunk_bytes else None)
     first_record = _header(own, known.file, options, exact_header)
     header = split_record(first_record)
     positions(header, columns)

@@ -29,14 +29,36 @@ _folders: list[str] = []
 MAX_BROADCAST_BLOCKS = 1 << 18  # block rows of about 100 bytes
 MAX_DRIVER_BLOCKS = 1 << 12  # up to so many block rows are numbered on the driver, more in the shared folder
 BOM = b"\xef\xbb\xbf"
+PARTITIONS = "spark.sql.files.maxPartitionNum"
 
 
-def lines(spark: SparkSession, path: str, tasks: int | None = None) -> DataFrame:
-    """file, blk (offset of the split), pos (order inside a scan), value (binary, without line end), read by `tasks` tasks at most."""
+def byte_setting(spark: SparkSession, key: str) -> int:
+    """A setting of a size, such as 16m, in bytes."""
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+
+
+def packed(text: DataFrame, task_bytes: int) -> int:
+    """The number of splits of a scan. Small ones are dealt to tasks of about task_bytes, each split a block as before: a task for each would cost more than its text."""
+    spark = text.sparkSession
+    size = int(str(text._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = byte_setting(spark, "spark.sql.files.maxPartitionBytes")
+    if split < task_bytes:
+        spark.conf.set(PARTITIONS, str(max(-(-size // task_bytes), 2 * spark.sparkContext.defaultParallelism)))
+    return -(-size // split)
+
+
+def lines(spark: SparkSession, path: str, tasks: int | None = None, task_bytes: int | None = None) -> tuple[DataFrame, int]:
+    """file, blk (offset of the split), pos (order inside a scan), value (binary, without line end), read by `tasks` tasks at most; about how many blocks there are.
+
+    task_bytes: what a task reads if splits are smaller; only for a session of the reader's own, whose settings it changes.
+    """
     # the split size, as an option, keeps scans with different splits apart when one plan holds both
     reader = spark.read.option("lineSep", "\n").option("splitBytes", spark.conf.get("spark.sql.files.maxPartitionBytes"))
-    scan = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"), F.col("value"))
-    return (scan.coalesce(tasks) if tasks else scan).select("file", "blk", F.monotonically_increasing_id().alias("pos"), F.col("value").cast("binary").alias("value"))
+    text = reader.text(path)
+    number = packed(text, task_bytes) if task_bytes else 0
+    scan = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("blk"), F.col("value"))
+    scan = (scan.coalesce(tasks) if tasks else scan).select("file", "blk", F.monotonically_increasing_id().alias("pos"), F.col("value").cast("binary").alias("value"))
+    return scan, max(number, scan.rdd.getNumPartitions())
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -134,9 +156,9 @@ class Blocks:
         return F.broadcast(table) if self.number <= MAX_BROADCAST_BLOCKS else table
 
 
-def blocks(scan: DataFrame) -> Blocks:
+def blocks(scan: DataFrame, expected: int) -> Blocks:
     spark = scan.sparkSession
-    if scan.rdd.getNumPartitions() <= MAX_DRIVER_BLOCKS // 4:
+    if expected <= MAX_DRIVER_BLOCKS // 4:
         found = counted(scan).limit(MAX_DRIVER_BLOCKS + 1).collect()
         if len(found) <= MAX_DRIVER_BLOCKS:
             found.sort(key=lambda r: (r["file"], r["blk"]))
@@ -228,14 +250,14 @@ def assemble(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row(open_, open_["part"] if open_["part"] is not None else now[1]), types)], names)
 
 
-def records(spark: SparkSession, path: str, limit: int, tasks: int | None = None) -> tuple[DataFrame, Blocks, DataFrame]:
+def records(spark: SparkSession, path: str, limit: int, tasks: int | None = None, task_bytes: int | None = None) -> tuple[DataFrame, Blocks, DataFrame]:
     """file, blk, pos, rec (binary, null if over limit), size of every record; the blocks; the scan.
 
     Above MAX_BROADCAST_BLOCKS blocks (32 TB in splits of 128 MB) of files with quoted newlines the block
     table no longer goes to every task: lines are shuffled to their blocks and sorted there instead.
     """
-    scan = lines(spark, path, tasks)
-    known = blocks(scan)
+    scan, expected = lines(spark, path, tasks, task_bytes)
+    known = blocks(scan, expected)
     if not known.quoted:
         whole = scan.select("file", "blk", "pos", F.when(F.octet_length("value") <= limit, F.col("value")).alias("rec"), F.octet_length("value").cast("long").alias("size"))
         return whole, known, scan

@@ -187,6 +187,24 @@ def test_plans_for_many_blocks_and_few_workers(spark, tmp_path, monkeypatch):
     assert read_csv(spark, plain, "a:int", ReadOptions(chunk_bytes=4096, workers=3, validate=False)).rdd.getNumPartitions() == 3
 
 
+def test_small_splits_share_tasks_and_stay_blocks(spark, tmp_path):
+    from quillframe.sources import records
+
+    small = ReadOptions(chunk_bytes=4096, validate=False)
+    plain = put(tmp_path, b"a\n" + b"".join(b"%d\n" % i for i in range(60_000)), "plain.csv")
+    frame = read_csv(spark, plain, "a:int", small, keep_order=True)
+    assert frame.rdd.getNumPartitions() <= 3 * spark.sparkContext.defaultParallelism
+    found = rows(frame.orderBy("_blk", "_pos"))
+    assert [r[3] for r in found] == list(range(60_000))
+    assert len({r[1] for r in found}) == -(-(tmp_path / "plain.csv").stat().st_size // 4096)
+    data = random_table(4, 2500, "\n")
+    path = put(tmp_path, data)
+    want = [(int(r[0]), r[1]) for r in list(csv.reader(io.StringIO(data.decode(), newline="")))[1:]]
+    assert len(data) > 40 * 4096 and b'"' in data
+    assert rows(read_csv(spark, path, "id:int, note:str", small, ordered=True)) == want
+    assert spark.conf.get(records.PARTITIONS, None) is None
+
+
 def test_conversions_against_patterns(spark):
     """Every short text over a few characters, against the patterns that define the kinds."""
     import itertools
