@@ -55,8 +55,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids of every row of the mix."""
-    return bpe.encode_documents(docs, tokenizer_file("word_bpe_49k.json"), outputs=("ids",))
+    """doc_id, n_tokens, ids of every row of the mix, and the text that its ids decode to."""
+    return bpe.encode_documents(docs, tokenizer_file("word_bpe_49k.json"), outputs=("ids", "decoded"))
 
 
 STAGES = [

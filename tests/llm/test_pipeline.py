@@ -64,6 +64,16 @@ def test_pipeline(spark, tmp_path):
     assert got == +want
 
 
+def test_the_last_stage_decodes_what_it_has_encoded(spark):
+    library = tokenizers.Tokenizer.from_str(tokenizer_file("word_bpe_49k.json"))
+    texts = ["Plain Words, and numbers 123.", "Éa\u0301 ÇPA!!\nΣΑΣ", "ᏣᎳᎩ ⴰⵣⵓⵍ", "".join(library.get_added_tokens_decoder()[i].content for i in library.get_added_tokens_decoder()) + "a", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["ids"], r["decoded"]) for r in corpus_pipeline.encode(spark, docs, "").collect()}
+    for i, text in enumerate(texts):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert got[i] == (ids, library.decode(ids, skip_special_tokens=False))
+
+
 def test_one_row_of_each_group_stays_where_ids_repeat_or_are_null(spark):
     words = [f"w{i}" for i in range(300)]
     rng = random.Random(2)
