@@ -5,9 +5,9 @@ rank, then position. Popping an entry merges the pair, unless the entry is stale
 symbols has been merged meanwhile), and queues the two new pairs. Decoding takes the ids and
 concatenates their vocabulary strings, as the file's decoder joins them.
 
-Each document is an independent narrow task: words repeat, so each worker keeps bounded caches
-from word to ids and from a word's ids to its strings, and only words outside them go through the
-queue. A file that normalises, splits or decodes otherwise than this module raises ValueError. The vocabulary file is read
+Each document is an independent narrow task: words repeat, so each worker keeps a bounded cache
+from word to ids, and only words outside it go through the queue; decoding looks up every id by
+itself. A file that normalises, splits or decodes otherwise than this module raises ValueError. The vocabulary file is read
 on the driver and broadcast (a few MB, whatever the input).
 
 Defined cases: a null text counts as empty and has no ids; the special strings of the file are
@@ -24,7 +24,7 @@ import json
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from typing import Any
+from itertools import repeat
 
 import pyarrow as pa
 import regex
@@ -45,13 +45,14 @@ LATIN_WORDS = re.compile(rf"{SHORT}|[{LATIN}]+|[{NUMERALS}]|[^{BLANK}{LATIN}{NUM
 BEYOND_LATIN = re.compile(r"[^\x00-\u024f\u2010-\u2027\u2030-\u205e]")
 # Blocks in which this Python's Unicode tables agree with the library's older ones (a test asks about every code point).
 BEYOND_KNOWN = re.compile(r"[^\x00-\u052f\u0590-\u05ff\u0620-\u06ff\u0900-\u0aff\u2010-\u205e\u3000-\u30ff\u4e00-\u9fa5\uac00-\ud7a3\U0001f300-\U0001f64f]")
-CACHE, LONGEST = 80_000, 64  # words of a generation of a worker's cache; characters of a word that it keeps
+CACHE, LONGEST = 160_000, 64  # words of a generation of a worker's cache; characters of a word that it keeps
 # Fixed value: what the files of this family say of normalising, splitting and decoding, which this module does by itself.
 KNOWN = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
     "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORDS.pattern}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
     "decoder": None,
 }
+NONE: dict[int, int] = {}  # of a symbol that begins no pair
 
 
 def byte_symbols() -> list[str]:
@@ -75,11 +76,14 @@ class MergeTable:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.strings = {i: s for s, i in self.vocab.items()} | {i: s for s, i in self.added.items()}
+        #: id in decimal -> vocabulary string
+        self.strings = {str(i): s for s, i in self.vocab.items()} | {str(i): s for s, i in self.added.items()}
         ids = self.vocab
         pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-        #: left id << 20 | right id -> rank
-        self.ranks = {ids[a] << 20 | ids[b]: k for k, (a, b) in enumerate(pairs)}
+        #: left id -> right id -> rank << 40
+        self.ranks: dict[int, dict[int, int]] = {}
+        for k, (a, b) in enumerate(pairs):
+            self.ranks.setdefault(ids[a], {})[ids[b]] = k << 40
         self.merged = [ids[a + b] for a, b in pairs]
         symbols = byte_symbols()
         self.inner = [ids[s] for s in symbols]
@@ -88,43 +92,52 @@ class MergeTable:
     def encode_word(self, word: bytes) -> list[int]:
         """Token ids of one word, given as UTF-8 bytes (the last one takes the end-of-word mark)."""
         n = len(word)
-        inner, rank_of = self.inner, self.ranks.get
+        inner, ranks = self.inner, self.ranks.get
         ids = [inner[b] for b in word]
         ids[-1] = self.last[word[-1]]
         if n == 1:
             return ids
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        queue = []  # rank << 40 | position of the pair's left symbol
+        pairs, queue = [], []  # rank << 40 | position of the pair's left symbol: the present pair of each symbol (or None), and all queued
+        right = ranks(ids[0], NONE)
         for i in range(n - 1):
-            rank = rank_of(ids[i] << 20 | ids[i + 1])
-            if rank is not None:
-                queue.append(rank << 40 | i)
+            entry = right.get(ids[i + 1])
+            right = ranks(ids[i + 1], NONE)
+            if entry is not None:
+                entry |= i
+                queue.append(entry)
+            pairs.append(entry)
+        pairs.append(None)
         heapq.heapify(queue)
         pop, push, merged = heapq.heappop, heapq.heappush, self.merged
         while queue:
             entry = pop(queue)
             i = entry & 0xFFFFFFFFFF
-            j = after[i]
-            if ids[i] < 0 or j < 0 or rank_of(ids[i] << 20 | ids[j]) != entry >> 40:
+            if pairs[i] != entry:
                 continue  # stale: the pair is no longer there
             new = ids[i] = merged[entry >> 40]
+            j = after[i]
             ids[j] = -1
+            pairs[i] = pairs[j] = None
             k = after[i] = after[j]
             if k >= 0:
                 before[k] = i
-                rank = rank_of(new << 20 | ids[k])
-                if rank is not None:
-                    push(queue, rank << 40 | i)
+                entry = ranks(new, NONE).get(ids[k])
+                if entry is not None:
+                    pairs[i] = entry = entry | i
+                    push(queue, entry)
             h = before[i]
             if h >= 0:
-                rank = rank_of(ids[h] << 20 | new)
-                if rank is not None:
-                    push(queue, rank << 40 | h)
+                entry = ranks(ids[h], NONE).get(new)
+                if entry is not None:
+                    entry |= h
+                    push(queue, entry)
+                pairs[h] = entry
         return [x for x in ids if x >= 0]
 
-    def counted(self, word: bytes) -> tuple[int, str]:
-        ids = self.encode_word(word)
-        return len(ids), " ".join(map(str, ids))
+    def joined(self, word: bytes) -> str:
+        """The ids of one word in decimal, joined by spaces."""
+        return " ".join(map(str, self.encode_word(word)))
 
 
 def lower(text: str) -> str:
@@ -141,12 +154,12 @@ def split_words(text: str) -> list[str]:
 
 
 class Kept(dict):
-    """Bounded cache of what make() gives for a text, in two generations; long texts are not kept, so a worker holds some 20 MB."""
+    """Bounded cache of what make() gives for a text, in two generations; long texts are not kept, so a worker holds some 45 MB."""
 
-    def __init__(self, make: Callable[[str], Any]):
+    def __init__(self, make: Callable[[str], str]):
         self.make, self.old = make, {}
 
-    def __missing__(self, text: str) -> Any:
+    def __missing__(self, text: str) -> str:
         out = self.old.get(text)
         if out is None:
             out = self.make(text)
@@ -166,35 +179,29 @@ class WordEncoder:
         self.specials = re.compile("|".join(map(re.escape, self.table.added))) if self.table.added else None
         self.file, self.library = file, None  # loaded when a text of a rare script comes
         self.bytes = {s: b for b, s in enumerate(byte_symbols())}
-        self.cache = Kept(lambda word: self.table.counted(word.encode("utf-8", "replace")))
-        self.strings = Kept(lambda ids: " ".join([self.table.strings[int(i)] for i in ids.split(" ") if int(i) in self.table.strings]))
+        self.cache = Kept(lambda word: self.table.joined(word.encode("utf-8", "replace")))
 
-    def tokens(self, text: str) -> list[tuple[int, str]]:
-        """Of each word of a text without special strings, the number of ids and the ids."""
+    def tokens(self, text: str) -> list[str]:
+        """The ids of each word of a text without special strings, joined by spaces."""
         if not text.isascii() and BEYOND_KNOWN.search(text):  # rare scripts: the library's own tables split
             self.library = self.library or Tokenizer.from_str(self.file)
             words = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-            return [self.table.counted(bytes(self.bytes[c] for c in w)) for w, _ in words]
-        cache = self.cache
-        return [cache[word] for word in split_words(text)]
+            return [self.table.joined(bytes(self.bytes[c] for c in w)) for w, _ in words]
+        return list(map(self.cache.__getitem__, split_words(text)))
 
     def encode(self, text: str) -> tuple[int, list[str]]:
         """Number of ids, and the ids of each word, joined by spaces."""
         found, at = [], 0
         for special in self.specials.finditer(text) if self.specials else ():
             found += self.tokens(text[at : special.start()])
-            found.append((1, str(self.table.added[special[0]])))
+            found.append(str(self.table.added[special[0]]))
             at = special.end()
         found += self.tokens(text[at:] if at else text)
-        if not found:
-            return 0, []
-        counts, ids = zip(*found)
-        return sum(counts), list(ids)
+        return len(found) + sum(map(str.count, found, repeat(" "))), found
 
     def decode(self, ids: list[str]) -> str:
         """Vocabulary strings of ids (in any groups), joined as a file without a decoder joins them; unknown ids are skipped."""
-        strings = self.strings
-        return " ".join(filter(None, [strings[i] for i in ids]))
+        return " ".join(filter(None, map(self.table.strings.get, " ".join(ids).split(" "))))
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
+import sys
 import zlib
 
 import numpy as np
@@ -60,6 +62,26 @@ def test_caches_stay_small(monkeypatch):
         assert len(own.cache) <= 10 and len(own.cache.old) <= 10 and all(len(w) <= bpe.LONGEST for w in own.cache)
 
 
+def test_words_of_the_last_generations_are_not_encoded_again():
+    own, made = bpe.WordEncoder(tokenizer_file("word_bpe_49k.json")), []
+    own.cache.make = lambda word: made.append(word) or "1"
+    words = ["".join(p) for p in itertools.product("abcdefghij", repeat=5)]
+    for word in words + words:
+        own.cache[word]
+    assert len(made) == len(words) == 100_000
+
+
+def test_decoding_runs_no_python_code_for_each_word():
+    own = bpe.WordEncoder(tokenizer_file("word_bpe_49k.json"))
+    ids = own.encode(" ".join("".join(p) for p in itertools.product("xyz", "aeiou", "klmn", "aeiou")))[1]
+    calls = []
+    sys.setprofile(lambda frame, event, arg: event == "call" and calls.append(frame))
+    text = own.decode([*ids, "1000000"])
+    sys.setprofile(None)
+    assert len(ids) == 300 and len(calls) < 10
+    assert text == tokenizers.Tokenizer.from_str(own.file).decode([int(i) for w in ids for i in w.split()], skip_special_tokens=False)
+
+
 def test_words_split_as_in_the_library_wherever_its_tables_are_known():
     file = tokenizer_file("word_bpe_49k.json")
     library, symbols = tokenizers.Tokenizer.from_str(file), bpe.byte_symbols()
