@@ -86,9 +86,12 @@ def text_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_nearest_neighbours, op2_near_duplicates, op3_url_filter, op4_exact_top_k, op5_source_mix, op6_secret_scan, op7_bpe_round_trip, op8_language_id, op9_repeated_passages, op10_token_counts, url_rules, mix_targets, secret_rules, text_bytes)
+    f.__name__: f for f in (op1_nearest_neighbours, op2_near_duplicates, op3_url_filter, op4_exact_top_k, op5_source_mix, op6_secret_scan, op7_bpe_round_trip, op8_language_id, op9_repeated_passages, op10_token_counts)
 }
 
+#: Queries of their own that hold what SQL can say of an operator.
+PARTS: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (url_rules, mix_targets, secret_rules, text_bytes)}
+
 _either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 ASSIGN = rf"""({"|".join(map(_either, ("password", "passwd", "secret", "token")))}|{_either("api")}_?{_either("key")})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 
@@ -133,6 +136,9 @@ ORACLE_SQL: dict[str, str] = {
                coalesce(r.root, d.doc_id) = d.doc_id as kept
         from sets d left join classes c on list_sort(d.s) = c.s left join roots r on r.a = c.rep
     """,
+}
+
+PARTS_SQL: dict[str, str] = {
     "url_rules": r"""
         with parts as (
             select page_id, translate(regexp_extract(coalesce(url, ''), '(?s)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,

@@ -106,3 +106,9 @@ def test_every_query_is_registered():
     assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(found)
     assert set(__spark_entry__.oracle_sql()) <= set(found)
+
+
+def test_what_sql_says_of_the_operators_is_registered_beside_them():
+    parts = {"url_rules", "mix_targets", "secret_rules", "text_bytes"}
+    assert parts <= set(__spark_entry__.queries()) and parts <= set(__spark_entry__.oracle_sql())
+    assert not parts & set(QUERIES)

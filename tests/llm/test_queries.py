@@ -22,3 +22,11 @@ def test_query_equals_its_sql(spark, name):
     assert sorted(columns) == sorted(frame.columns)
     got = [tuple(r[c] for c in columns) for r in frame.collect()]
     assert sorted(got, key=repr) == sorted(map(tuple, want.fetchall()), key=repr)
+
+
+@pytest.mark.skipif(not Path(FOLDER).exists(), reason="needs the generated tables")
+@pytest.mark.parametrize("name", sorted(queries.PARTS))
+def test_part_equals_its_sql(spark, monkeypatch, name):
+    monkeypatch.setattr(queries, "QUERIES", queries.PARTS)
+    monkeypatch.setattr(queries, "ORACLE_SQL", queries.PARTS_SQL)
+    test_query_equals_its_sql(spark, name)
