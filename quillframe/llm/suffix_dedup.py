@@ -158,9 +158,8 @@ def anchors(docs: DataFrame, length: int) -> DataFrame:
 
 
 def cut_surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The bytes around each wanted sample: k, c, n, id, h, pos, l, r, data."""
-    fields = "k long, c long, n long, pos int, l int, r int"
-    lists = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("k", "c", "n", "pos", "l", "r")).alias("w"))
+    """The bytes around each wanted sample: k, c, n, id, h, pos, l, r, data, m."""
+    lists = wanted.groupBy("id", "h").agg(F.collect_list(F.struct("k", "c", "n", "pos", "l", "r", "m")).alias("w"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,10 +173,10 @@ def cut_surroundings(texts: DataFrame, wanted: DataFrame) -> DataFrame:
                 pos, l, r = (flat.field(f).to_numpy() for f in ("pos", "l", "r"))
                 data = [texts[i][a:b] for i, a, b in zip(own.tolist(), (pos - l).tolist(), (pos + r).tolist())]
                 ids = part.select(["id", "h"]).take(pa.array(own))
-                yield pa.RecordBatch.from_arrays([*(flat.field(f) for f in ("k", "c", "n")), *ids.columns, *(flat.field(f) for f in ("pos", "l", "r")), pa.array(data, pa.binary())], ["k", "c", "n", "id", "h", "pos", "l", "r", "data"])
+                yield pa.RecordBatch.from_arrays([*(flat.field(f) for f in ("k", "c", "n")), *ids.columns, *(flat.field(f) for f in ("pos", "l", "r")), pa.array(data, pa.binary()), flat.field("m")], ["k", "c", "n", "id", "h", "pos", "l", "r", "data", "m"])
 
     both = texts.join(lists, ["id", "h"]).select("id", "h", "text", "w")
-    return both.mapInArrow(run, "k long, c long, n long, id long, h long, pos int, l int, r int, data binary")
+    return both.mapInArrow(run, "k long, c long, n long, id long, h long, pos int, l int, r int, data binary, m long")
 
 
 def window_keys(data: list[bytes], k: np.ndarray, l: np.ndarray, r: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +241,8 @@ def compared(surroundings: DataFrame, length: int) -> DataFrame:
         if held:
             yield settle(held)
 
-    return surroundings.repartition("k").sortWithinPartitions("k").mapInArrow(run, "id long, h long, start int, end int")
+    # by an expression: Spark drops a repartition by k above a join by k, and may then read that join's rows where they were written
+    return surroundings.repartition(F.xxhash64("k")).sortWithinPartitions("k").mapInArrow(run, "id long, h long, start int, end int")
 
 
 def compared_hot(surroundings: DataFrame, length: int) -> DataFrame:
@@ -278,12 +278,10 @@ def stretches(docs: DataFrame, length: int = 200, hot: int = 20_000) -> DataFram
     ties = shared.join(named.where("n > 1").select("k", "c"), ["k", "c"]).where(F.col("l") + F.col("r") >= length)
     ties = ties.select("id", "h", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + F.col("r")).alias("end"))
     mixed, mixed_at = stored(named.groupBy("k").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("k", "m"), "mixed")
-    around, around_at = stored(cut_surroundings(docs, named.join(mixed.select("k"), "k")), "surroundings")
-    large = mixed.where(F.col("m") > hot).select("k")
-    if large.isEmpty():
-        rest = compared(around, length)
-    else:
-        rest = compared(around.join(large, "k", "left_anti"), length).union(compared_hot(around.join(large, "k"), length))
+    around, around_at = stored(cut_surroundings(docs, named.join(mixed, "k")), "surroundings")
+    rest = compared(around.where(F.col("m") <= hot), length)
+    if not mixed.where(F.col("m") > hot).isEmpty():
+        rest = rest.union(compared_hot(around.where(F.col("m") > hot), length))
     rest, _ = stored(rest, "rest")
     release(spark, around_at)
     release(spark, mixed_at)

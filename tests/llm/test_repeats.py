@@ -48,3 +48,20 @@ def test_against_brute_force(spark, monkeypatch, unique, hot, segment):
 
 def test_empty_table(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_rows_of_a_bucket_meet_when_spark_turns_joins_to_broadcasts(spark):
+    # a join turned to a broadcast at run time reads its other side where that was written, not by key
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10m", "spark.sql.files.maxPartitionBytes": "4k", "spark.sql.files.openCostInBytes": "1k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    rows = corpus(True)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        for hot in (25, 35):  # some buckets above it, some below
+            got = sorted((tuple(r) for r in suffix_dedup.remove_repeats(docs, hot=hot).collect()), key=repr)
+            assert got == brute(rows, 200)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
